@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate
+from . import decontaminate, toxicity
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.report(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.report(decontaminate.decontaminate(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return toxicity.report(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op7_toxicity": op7_toxicity,
 }
 ORACLES: dict[str, str] = {}
