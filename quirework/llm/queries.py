@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, toxicity
+from . import decontaminate, mixing, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op10_mix": op10_mix,
 }
 ORACLES: dict[str, str] = {}
