@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, mixing, quality_rules, toxicity
+from . import decontaminate, mixing, quality_rules, secrets, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.decontaminate(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("host_rate")
 
@@ -31,6 +35,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_secrets": op4_secrets,
     "op5_quality_rules": op5_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op10_mix": op10_mix,
