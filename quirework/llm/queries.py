@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, mixing, quality_rules, secrets, toxicity
+from . import decontaminate, jaccard, mixing, quality_rules, secrets, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(_texts(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.decontaminate(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +38,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard": op2_jaccard,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_quality_rules": op5_quality_rules,
