@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, jaccard, mixing, quality_rules, secrets, toxicity
+from . import decontaminate, jaccard, mixing, quality_rules, secrets, substrings, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.repeated_bytes(_texts(spark, sf_dir)))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(_texts(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard": op2_jaccard,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
