@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, jaccard, mixing, quality_rules, secrets, substrings, toxicity
+from . import class_lm, decontaminate, jaccard, mixing, quality_rules, secrets, substrings, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("host_rate")
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(_texts(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     return toxicity.report(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_quality_rules": op5_quality_rules,
+    "op6_class_lm": op6_class_lm,
     "op7_toxicity": op7_toxicity,
     "op10_mix": op10_mix,
 }

@@ -23,16 +23,14 @@ smallest id of each name, so a string that is in every document costs a block on
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, mix, prefix, slice_hash, sliding, spans, window_hash
-
-EMPTY = np.zeros(0, np.uint64)
+from .kernels import mix, prefix, slice_hash, sliding, window_hash
+from .packed import EMPTY, block_plan, find, in_blocks, least, packed, rows_of, texts, unpacked
 
 
 class Samples:
@@ -72,54 +70,10 @@ class Samples:
         return at, mix(self.names[at] * np.uint64(3) + self.names[at + self.reach] * np.uint64(0x9FB21C651E98DF25))
 
 
-def _least(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each name once, with its smallest document."""
-    order = np.lexsort((doc, name))
-    name, doc = name[order], doc[order]
-    new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
-    return name[new], doc[new]
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of x are in the sorted table, and where."""
-    at = np.searchsorted(table, x)
-    at[at == len(table)] = 0
-    return (table[at] == x if len(table) else np.zeros(len(x), bool)), at
-
-
-def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    ids = table["doc_id"].to_numpy()
-    for i, j, buf, offs in chunks(*spans(table["text"])):
-        yield ids[i:j], buf, offs
-
-
-def _packed(block: int, bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
-    """One row for each bucket in use, its columns as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    used, begin = np.unique(bucket, return_index=True)
-    end = np.append(begin[1:], len(bucket))
-    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32())}
-    for name, values in columns.items():
-        values = values[order]
-        out[name] = pa.array([values[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-    return pa.table(out)
-
-
-def _unpacked(table: pa.Table, name: str, dtype: type = np.uint64) -> np.ndarray:
-    got = table[name].to_pylist()
-    return np.concatenate([np.frombuffer(x, dtype) for x in got]) if got else np.zeros(0, dtype)
-
-
-def _rows_of(table: pa.Table, name: str, width: int) -> np.ndarray:
-    """The row that each entry of a packed column came from."""
-    return np.repeat(np.arange(len(table)), [len(x) // width for x in table[name].to_pylist()])
-
-
 def _sampled_names(threshold: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         names, docs = [EMPTY], [np.zeros(0, np.int64)]
-        for ids, buf, offs in _texts(table):
+        for ids, buf, offs in texts(table):
             s = Samples(buf, offs, threshold)
             names.append(s.name)
             docs.append(ids[s.doc])
@@ -132,13 +86,13 @@ def _sampled_names(threshold: int, buckets: int):
         rank = np.arange(len(name)) - np.searchsorted(name, name)
         name = name[rank < 2]
         low = (name & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-        return _packed(table["block"][0].as_py(), low.astype(np.int64), buckets, names=(name >> np.uint64(32)).astype(np.uint32))
+        return packed(table["block"][0].as_py(), low.astype(np.int64), buckets, names=(name >> np.uint64(32)).astype(np.uint32))
 
     return run
 
 
 def _shared_names(table: pa.Table) -> pa.Table:
-    name, row = _unpacked(table, "names", np.uint32), _rows_of(table, "names", 4)
+    name, row = unpacked(table, "names", np.uint32), rows_of(table, "names", 4)
     _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
     shared = times[inverse] > 1
     name, row = name[shared], row[shared]
@@ -148,16 +102,16 @@ def _shared_names(table: pa.Table) -> pa.Table:
 
 
 def _contexts(threshold: int, buckets: int):
-    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        if not len(texts) or not len(shared):
-            return _packed(0, np.zeros(0, np.int64), buckets, names=EMPTY, contexts=EMPTY, docs=np.zeros(0, np.int64))
-        high = shared["bucket"].to_numpy().astype(np.uint64)[_rows_of(shared, "names", 4)] << np.uint64(32)
-        known = np.sort(high | _unpacked(shared, "names", np.uint32).astype(np.uint64))
+    def run(held: pa.Table, shared: pa.Table) -> pa.Table:
+        if not len(held) or not len(shared):
+            return packed(0, np.zeros(0, np.int64), buckets, names=EMPTY, contexts=EMPTY, docs=np.zeros(0, np.int64))
+        high = shared["bucket"].to_numpy().astype(np.uint64)[rows_of(shared, "names", 4)] << np.uint64(32)
+        known = np.sort(high | unpacked(shared, "names", np.uint32).astype(np.uint64))
         name, context, doc = [EMPTY], [EMPTY], [np.zeros(0, np.int64)]
-        for ids, buf, offs in _texts(texts):
+        for ids, buf, offs in texts(held):
             s = Samples(buf, offs, threshold)
             low = (s.name & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-            kept = _find(known, low << np.uint64(32) | s.name >> np.uint64(32))[0]
+            kept = find(known, low << np.uint64(32) | s.name >> np.uint64(32))[0]
             name.append(s.name[kept])
             context.append(s.contexts()[kept])
             doc.append(ids[s.doc[kept]])
@@ -166,16 +120,16 @@ def _contexts(threshold: int, buckets: int):
         name, context, doc = name[order], context[order], doc[order]
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (name[1:] != name[:-1])]) if len(name) else np.zeros(0, bool)
         name, context, doc = name[new], context[new], doc[new]
-        return _packed(texts["block"][0].as_py(), (name % np.uint64(buckets)).astype(np.int64), buckets, names=name, contexts=context, docs=doc)
+        return packed(held["block"][0].as_py(), (name % np.uint64(buckets)).astype(np.int64), buckets, names=name, contexts=context, docs=doc)
 
     return run
 
 
 def _ranked_contexts(table: pa.Table) -> pa.Table:
     """For each block: contexts that an earlier document has, with it, and names with several contexts."""
-    name, context, doc = _unpacked(table, "names"), _unpacked(table, "contexts"), _unpacked(table, "docs", np.int64)
-    row = _rows_of(table, "names", 8)
-    contexts, docs = _least(context, doc)
+    name, context, doc = unpacked(table, "names"), unpacked(table, "contexts"), unpacked(table, "docs", np.int64)
+    row = rows_of(table, "names", 8)
+    contexts, docs = least(context, doc)
     first = docs[np.searchsorted(contexts, context)]
     pairs = np.unique(np.stack([name, context], 1), axis=0)
     names, times = np.unique(pairs[:, 0], return_counts=True)
@@ -193,43 +147,43 @@ def _ranked_contexts(table: pa.Table) -> pa.Table:
 class Ranked:
     """What ``_ranked_contexts`` found for a block, joined by the block's own smallest documents."""
 
-    def __init__(self, table: pa.Table, threshold: int, texts: pa.Table):
-        self.several = np.sort(_unpacked(table, "names"))
-        context, doc = [_unpacked(table, "seen")], [_unpacked(table, "docs", np.int64)]
+    def __init__(self, table: pa.Table, threshold: int, held: pa.Table):
+        self.several = np.sort(unpacked(table, "names"))
+        context, doc = [unpacked(table, "seen")], [unpacked(table, "docs", np.int64)]
         self.samples = []
-        for ids, buf, offs in _texts(texts):
+        for ids, buf, offs in texts(held):
             s = Samples(buf, offs, threshold)
             self.samples.append((ids, buf, offs, s, s.contexts()))
             context.append(self.samples[-1][4])
             doc.append(ids[s.doc])
-        self.contexts, self.docs = _least(np.concatenate(context), np.concatenate(doc))
+        self.contexts, self.docs = least(np.concatenate(context), np.concatenate(doc))
 
     def decide(self, ids: np.ndarray, s: Samples, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which samples are repeats as they are, and which are undecided."""
         repeat = self.docs[np.searchsorted(self.contexts, context)] < ids[s.doc]
-        return repeat, ~repeat & _find(self.several, s.name)[0]
+        return repeat, ~repeat & find(self.several, s.name)[0]
 
 
 def _strings(threshold: int, buckets: int):
-    def run(texts: pa.Table, ranked: pa.Table) -> pa.Table:
+    def run(held: pa.Table, ranked: pa.Table) -> pa.Table:
         name, doc = [EMPTY], [np.zeros(0, np.int64)]
-        if len(texts) and len(ranked):
-            found = Ranked(ranked, threshold, texts)
+        if len(held) and len(ranked):
+            found = Ranked(ranked, threshold, held)
             for ids, _, offs, s, context in found.samples:
                 at, names = s.strings(found.decide(ids, s, context)[1])
-                least = _least(names, ids[np.searchsorted(offs, at, "right") - 1])
-                name.append(least[0])
-                doc.append(least[1])
-        name, doc = _least(np.concatenate(name), np.concatenate(doc))
-        block = texts["block"][0].as_py() if len(texts) else 0
-        return _packed(block, (name % np.uint64(buckets)).astype(np.int64), buckets, names=name, docs=doc)
+                own = least(names, ids[np.searchsorted(offs, at, "right") - 1])
+                name.append(own[0])
+                doc.append(own[1])
+        name, doc = least(np.concatenate(name), np.concatenate(doc))
+        block = held["block"][0].as_py() if len(held) else 0
+        return packed(block, (name % np.uint64(buckets)).astype(np.int64), buckets, names=name, docs=doc)
 
     return run
 
 
 def _ranked_strings(table: pa.Table) -> pa.Table:
-    name, doc, row = _unpacked(table, "names"), _unpacked(table, "docs", np.int64), _rows_of(table, "names", 8)
-    names, docs = _least(name, doc)
+    name, doc, row = unpacked(table, "names"), unpacked(table, "docs", np.int64), rows_of(table, "names", 8)
+    names, docs = least(name, doc)
     first = docs[np.searchsorted(names, name)]
     cut = np.searchsorted(row, np.arange(len(table) + 1))
     out = [(name[a:b][first[a:b] < doc[a:b]].tobytes(), first[a:b][first[a:b] < doc[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -239,10 +193,10 @@ def _ranked_strings(table: pa.Table) -> pa.Table:
 def _removed(threshold: int):
     """(doc_id, text, [begin, end) pairs of removed bytes) of a block."""
 
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def run(held: pa.Table, found: pa.Table) -> pa.Table:
         ranked, late = found.filter(pa.compute.equal(found["late"], 0)), found.filter(pa.compute.equal(found["late"], 1))
-        block = Ranked(ranked, threshold, texts)
-        seen, by = [_unpacked(late, "seen")], [_unpacked(late, "docs", np.int64)]
+        block = Ranked(ranked, threshold, held)
+        seen, by = [unpacked(late, "seen")], [unpacked(late, "docs", np.int64)]
         todo = []
         for ids, buf, offs, s, context in block.samples:
             repeat, undecided = block.decide(ids, s, context)
@@ -251,7 +205,7 @@ def _removed(threshold: int):
             todo.append((ids, buf, offs, s, repeat, at, names, doc))
             seen.append(names)
             by.append(doc)
-        names_all, docs_all = _least(np.concatenate(seen), np.concatenate(by))
+        names_all, docs_all = least(np.concatenate(seen), np.concatenate(by))
         out: list[tuple[int, int, list[int], str]] = []
         for ids, buf, offs, s, repeat, at, names, doc in todo:
             edge = np.zeros(len(buf) + 1, np.int64)
@@ -281,14 +235,10 @@ def repeated_bytes(docs: DataFrame, *, threshold: int = 50, id_col: str = "doc_i
     without one are left out (no document comes before them or after), and rows with the same id
     don't count as earlier than each other.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block_bytes = min(64 << 20, max(2 << 20, total // 4096))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * parts, total // block_bytes)
-    buckets = max(128, total // (16 * block_bytes))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    held = texts.groupBy("block")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    blocks, buckets = block_plan(rows)
+    rows = in_blocks(rows, blocks)
+    held = rows.groupBy("block")
     shared = held.applyInArrow(_sampled_names(threshold, buckets), "bucket int, block int, names binary").groupBy("bucket").applyInArrow(_shared_names, "block int, bucket int, names binary")
     contexts = held.cogroup(shared.groupBy("block")).applyInArrow(_contexts(threshold, buckets), "bucket int, block int, names binary, contexts binary, docs binary")
     ranked = contexts.groupBy("bucket").applyInArrow(_ranked_contexts, "block int, names binary, seen binary, docs binary")
