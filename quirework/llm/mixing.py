@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-The texts of a source, in order of their ids, are one long run of words, cut into blocks of
+The texts of a source, by hash bucket of their ids and then by id, are one long run of words, cut into blocks of
 ``block`` words. The mix is a sequence of slots, ``shard_slots`` to an output shard. Each shard
 draws multinomial source counts: of a source's expected share of the slots the whole part is
 certain and the fractions are drawn, so counts stay near their targets however many shards there
@@ -23,6 +23,7 @@ from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12
+SHARD_GROUP = 256
 WEIGHTS = (3, 1, 2)
 
 
@@ -60,6 +61,17 @@ def _permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
+def _before(rows: DataFrame, by: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over earlier rows of the same ``by``: of earlier buckets, then within the bucket."""
+    frame = (Window.unboundedPreceding, -1)
+    sums = rows.groupBy(by, bucket).agg(F.sum(value).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(by).orderBy(bucket).rowsBetween(*frame))
+    sums = sums.select(F.col(by).alias("by2"), F.col(bucket).alias("bucket2"), F.coalesce(earlier, F.lit(0)).alias("base"))
+    within = F.sum(value).over(Window.partitionBy(by, bucket).orderBy(*order).rowsBetween(*frame))
+    rows = rows.withColumn("within", F.coalesce(within, F.lit(0)))
+    return rows.join(sums, F.expr(f"{by} <=> by2 AND {bucket} = bucket2")).withColumn(out, F.col("base") + F.col("within")).drop("base", "within", "by2", "bucket2")
+
+
 def _uniform(*of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
@@ -90,20 +102,11 @@ def mix(
     )
     sized = cut(sized)
     n_docs = sized.count()
-    buckets = max(16, min(1 << 16, n_docs // 2000))
+    buckets = max(16, min(1 << 16, n_docs // 250))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    # first level: sums of buckets; second: rows within a bucket
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, repeats=repeats))
     goals_b = goals.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint"))
-    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1))
-    placed = (
-        sized.withColumn("within", F.coalesce(within, F.lit(0)))
-        .join(sums.withColumnsRenamed({"source": "s2", "bucket": "b2"}), F.expr("source <=> s2 AND bucket = b2"))
-        .select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("begin"))
-    )
+    placed = _before(sized, "source", "bucket", ["doc_id", "tie"], "size", "begin").select("doc_id", "source", "size", "begin")
     used = _block_uses(goals_b, block, shard_slots, repeats, seed)
     pieces = (
         placed.where("size > 0")
@@ -111,18 +114,22 @@ def mix(
         .withColumn("overlap", F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("begin", F.col("index") * block))
     )
     took = (
-        pieces.join(used, F.expr("source <=> s3 AND index = i3"))
+        pieces.join(used.hint("merge"), F.expr("source <=> s3 AND index = i3"))
         .groupBy("doc_id", "source", "begin")
         .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
         .withColumnsRenamed({"doc_id": "d4", "source": "s4", "begin": "b4"})
     )
     return (
-        placed.join(took, F.expr("doc_id <=> d4 AND source <=> s4 AND begin = b4 AND size > 0"), "left")
+        placed.join(took.hint("merge"), F.expr("doc_id <=> d4 AND source <=> s4 AND begin = b4 AND size > 0"), "left")
         .join(goals.withColumnRenamed("source", "s5"), F.expr("source <=> s5"))
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _block_uses(goals: DataFrame, block: int, shard_slots: int, repeats: int, seed: int) -> DataFrame:
     """(s3, i3, times): how often the mix uses each block of each source."""
     one = Window.partitionBy(F.lit(1))
@@ -139,16 +146,21 @@ def _block_uses(goals: DataFrame, block: int, shard_slots: int, repeats: int, se
     g = g.withColumn("low", F.col("high") - F.col("fraction")).withColumn("key", F.coalesce(F.col("source"), F.lit("\0")))
     # a shard draws the fractions with one uniform number: points u, u + 1, u + 2, ... of the line on which they lie end to end
     drawn = F.floor(F.col("high") - F.col("u")) - F.floor(F.col("low") - F.col("u"))
+    # few rows become many, in steps, each dealt out before it: groups of shards, shards, slots
+    n = _shuffle_partitions(goals)
+    last = F.col("shards") - 1
     counts = (
-        g.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
+        g.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / SHARD_GROUP))))
+        .repartition(n, "source", "group")
+        .withColumn("shard", F.explode(F.sequence(F.col("group") * SHARD_GROUP, F.least(last, F.col("group") * SHARD_GROUP + SHARD_GROUP - 1))))
         .withColumn("u", _uniform(F.col("shard"), F.lit(seed)))
         .withColumn("count", (F.floor("expected") + drawn).cast("bigint"))
-        .select("source", "key", "blocks", "shard", "count")
+        .select("source", "key", "blocks", "group", "shard", "count")
     )
-    start = F.sum("count").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     slots = (
-        counts.withColumn("start", F.coalesce(start, F.lit(0)))
+        _before(counts, "source", "group", ["shard"], "count", "start")
         .where("count > 0")
+        .repartition(n, "source", "shard")
         .select("source", "key", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("slot"))
         .where(F.col("slot") < F.col("blocks") * repeats)
     )
