@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import class_lm, decontaminate, jaccard, line_crf, mixing, quality_rules, secrets, substrings, toxicity
+from . import class_lm, decontaminate, jaccard, line_crf, line_dedup, mixing, quality_rules, secrets, substrings, toxicity
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_texts(spark, sf_dir))
+
+
 def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     return line_crf.report(line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels"))))
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_class_lm": op6_class_lm,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_line_crf": op9_line_crf,
     "op10_mix": op10_mix,
 }
