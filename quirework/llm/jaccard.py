@@ -36,7 +36,7 @@ from .kernels import LOWER, NOT_SPACE, chunks, grams, mix, prefix, slice_hash, s
 BUCKET_BYTES = 16 << 20
 EXACT_BITS = 1 << 15
 FANOUT = 8
-TILE = 1 << 15
+TILE_BYTES = 16 << 20  # bitmaps compared at once
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -199,9 +199,11 @@ def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int, blocks
         links.append((docs[order[x]], docs[order[y]]))
         label[label == label[x]] = label[y]
 
+    tile = max(64, TILE_BYTES // (8 * width))
+
     def meet(level_a: int, level_b: int, a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), TILE):
-            x, y = a[at : at + TILE], b[at : at + TILE]
+        for at in range(0, len(a), tile):
+            x, y = a[at : at + tile], b[at : at + tile]
             if level_a == level_b:
                 fine = left.possible(level_a, x, y, right, percent)
                 x, y = x[fine], y[fine]
