@@ -14,7 +14,7 @@ CONFIDENT, MARGIN = 55.0, 12.0
 PLACE_POINTS = {1: 30.0, 2: 12.0, 3: 8.0, 4: 6.0, 5: 4.0}
 FRONT_MATTER_MARKS = ("copyright", "all rights reserved", "isbn", "library of congress", "first published", "printed in", "no part of this publication")
 CONTENTS = r"(?i)^(?:table\s+of\s+)?contents\b[\s.:]*$"
-CONTENTS_ENTRY = r"(?i)^\S.*?[\s.·․…]+(?:\d{1,4}|[ivxlcdm]{1,7})$"
+CONTENTS_ENTRY = r"(?i)^\S.*?[\s.\u00b7\u2024\u2026]+(?:\d{1,4}|[ivxlcdm]{1,7})$"
 
 
 def signals(pages: DataFrame) -> DataFrame:

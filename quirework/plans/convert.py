@@ -1,4 +1,4 @@
-"""From line tables to books: the whole reconstruction as one lazy plan."""
+"""From line tables to books: the whole reconstruction."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..operators import assemble, furniture, headings, images as image_ops, paragraphs, reading_order
+from ..session import stored
 from ..sources import epub_write
 
 
@@ -21,8 +22,10 @@ def reconstruct(lines: DataFrame) -> DataFrame:
     blocks = lines.groupBy("doc_id", "page_number", "block_order").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     order = reading_order.order_blocks(blocks).withColumnsRenamed({"doc_id": "od", "page_number": "op", "block_order": "ob"})
     ordered = lines.join(order, (F.col("doc_id") == F.col("od")) & (F.col("page_number") == F.col("op")) & (F.col("block_order") == F.col("ob")))
-    found = headings.classify(paragraphs.native_paragraphs(ordered)).withColumn("norm_text", normalized("text"))
-    return furniture.without_furniture(found)
+    keep = ["doc_id", "page_number", "para_idx", "text", "norm_text", "line_count", "x0", "y0", "x1", "y1", "page_width", "page_height", "is_heading", "score", "reasons"]
+    # read several times below: written once
+    found = stored(headings.classify(paragraphs.native_paragraphs(ordered)).withColumn("norm_text", normalized("text")).select(*keep))
+    return stored(furniture.without_furniture(found))
 
 
 def books(found: DataFrame, images: DataFrame | None = None, title: Column | None = None) -> DataFrame:
