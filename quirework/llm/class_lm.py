@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, NOT_SPACE, chunks, owners, prefix, slice_hash, spans, words
-from .packed import EMPTY, block_plan, find, in_blocks, packed, rows_of, unpacked
+from .packed import EMPTY, block_plan, find, in_blocks, packed, planes, rows_of, unpacked
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
 SLICES = 64
@@ -261,7 +261,7 @@ def _answered(table: pa.Table) -> pa.Table:
     names, total, _ = _counted([name], [count], [np.zeros(len(name), np.int64)])
     total = total[np.searchsorted(names, name)]
     cut = np.searchsorted(row, np.arange(len(table) + 1))
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([planes(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _scored(shared, buckets: int):

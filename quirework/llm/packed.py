@@ -39,22 +39,33 @@ def texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         yield ids[i:j], buf, offs
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes first: the upper ones are mostly alike, so the shuffle compresses them."""
+    values = np.ascontiguousarray(values)
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
 def packed(block: int, bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
     """One row for each bucket in use, its columns as bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     used, begin = np.unique(bucket, return_index=True)
-    end = np.append(begin[1:], len(bucket))
+    end = np.append(begin[1:], len(bucket))[: len(used)]
     out = {"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32())}
     for name, values in columns.items():
         values = values[order]
-        out[name] = pa.array([values[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+        out[name] = pa.array([planes(values[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
     return pa.table(out)
 
 
 def unpacked(table: pa.Table, name: str, dtype: type = np.uint64) -> np.ndarray:
     got = table[name].to_pylist()
-    return np.concatenate([np.frombuffer(x, dtype) for x in got]) if got else np.zeros(0, dtype)
+    return np.concatenate([from_planes(x, dtype) for x in got]) if got else np.zeros(0, dtype)
 
 
 def rows_of(table: pa.Table, name: str, width: int) -> np.ndarray:

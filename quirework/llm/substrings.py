@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix, prefix, slice_hash, sliding, window_hash
-from .packed import EMPTY, block_plan, find, in_blocks, least, packed, rows_of, texts, unpacked
+from .packed import EMPTY, block_plan, find, in_blocks, least, packed, planes, rows_of, texts, unpacked
 
 
 class Samples:
@@ -97,7 +97,7 @@ def _shared_names(table: pa.Table) -> pa.Table:
     shared = times[inverse] > 1
     name, row = name[shared], row[shared]
     cut = np.searchsorted(row, np.arange(len(table) + 1))
-    blobs = [np.unique(name[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    blobs = [planes(np.unique(name[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.table({"block": table["block"], "bucket": table["bucket"], "names": pa.array(blobs, pa.binary())})
 
 
@@ -138,9 +138,9 @@ def _ranked_contexts(table: pa.Table) -> pa.Table:
     seen, by, several = [], [], []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         earlier = first[a:b] < doc[a:b]
-        seen.append(context[a:b][earlier].tobytes())
-        by.append(first[a:b][earlier].tobytes())
-        several.append(np.unique(name[a:b][open_[a:b]]).tobytes())
+        seen.append(planes(context[a:b][earlier]))
+        by.append(planes(first[a:b][earlier]))
+        several.append(planes(np.unique(name[a:b][open_[a:b]])))
     return pa.table({"block": table["block"], "names": pa.array(several, pa.binary()), "seen": pa.array(seen, pa.binary()), "docs": pa.array(by, pa.binary())})
 
 
@@ -186,7 +186,7 @@ def _ranked_strings(table: pa.Table) -> pa.Table:
     names, docs = least(name, doc)
     first = docs[np.searchsorted(names, name)]
     cut = np.searchsorted(row, np.arange(len(table) + 1))
-    out = [(name[a:b][first[a:b] < doc[a:b]].tobytes(), first[a:b][first[a:b] < doc[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    out = [(planes(name[a:b][first[a:b] < doc[a:b]]), planes(first[a:b][first[a:b] < doc[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return pa.table({"block": table["block"], "names": pa.array([b""] * len(out), pa.binary()), "seen": pa.array([x for x, _ in out], pa.binary()), "docs": pa.array([y for _, y in out], pa.binary())})
 
 
