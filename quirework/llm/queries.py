@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from . import class_lm, decontaminate, jaccard, line_crf, line_dedup, mixing, quality_rules, secrets, substrings, toxicity
 
+from .oracles import ORACLES  # noqa: F401
+
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,4 +68,3 @@ QUERIES = {
     "op9_line_crf": op9_line_crf,
     "op10_mix": op10_mix,
 }
-ORACLES: dict[str, str] = {}
