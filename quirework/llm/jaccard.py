@@ -32,10 +32,12 @@ from ..session import cut
 from .components import components
 from .frames import map_texts
 from .kernels import LOWER, NOT_SPACE, chunks, grams, mix, prefix, slice_hash, spans, words
+from .packed import planes, unpacked
 
 BUCKET_BYTES = 16 << 20
 EXACT_BITS = 1 << 15
 FANOUT = 8
+KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # what is sent of a key, beside its bucket; what else then collides is told apart later
 TILE_BYTES = 16 << 20  # bitmaps compared at once
 
 
@@ -110,6 +112,7 @@ def _key_blobs(size: int, percent: int, buckets: int):
                 own = mix(pair[:, 1].astype(np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
                 key, doc = np.concatenate([key, own, own]), np.concatenate([doc, pair[:, 0], pair[:, 1]])
             bucket = (key % np.uint64(buckets)).astype(np.int64)
+            key = key & KEY_BITS
             order = np.argsort(bucket, kind="stable")
             key, doc, bucket = key[order], doc[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -117,7 +120,7 @@ def _key_blobs(size: int, percent: int, buckets: int):
                 own = [b for b in range(lo, min(buckets, lo + 256)) if cuts[b + 1] > cuts[b]]
                 if own:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int32()), pa.array([key[cuts[b] : cuts[b + 1]].tobytes() for b in own], pa.binary()), pa.array([doc[cuts[b] : cuts[b + 1]].tobytes() for b in own], pa.binary())],
+                        [pa.array(own, pa.int32()), pa.array([planes(key[cuts[b] : cuts[b + 1]]) for b in own], pa.binary()), pa.array([planes(doc[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())],
                         ["bucket", "keys", "docs"],
                     )
 
@@ -126,8 +129,7 @@ def _key_blobs(size: int, percent: int, buckets: int):
 
 def _stars(table: pa.Table) -> pa.Table:
     """Edges from each document to the smallest one that has a key in common."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
+    key, doc = unpacked(table, "keys"), unpacked(table, "docs", np.int64)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
