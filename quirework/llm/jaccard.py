@@ -68,10 +68,10 @@ class Ranges:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 100 // self.percent + 1))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def parts(self, k: int) -> int:
-        """One more than the shingles in which a set of range k can differ from a linked one, no smaller, of k or k + 1."""
+    def most_different(self, k: int) -> int:
+        """In how many shingles a set of range k can differ from a linked one, no smaller, of k or k + 1."""
         self.of(self.low[-1] if k + 1 >= len(self.low) else 1)
-        return (self.low[k + 1] - 1) * (100 - self.percent) // self.percent + 1
+        return (self.low[k + 1] - 1) * (100 - self.percent) // self.percent
 
 
 def keys(shingles: np.ndarray, ranges: Ranges) -> np.ndarray:
@@ -82,10 +82,15 @@ def keys(shingles: np.ndarray, ranges: Ranges) -> np.ndarray:
     out = []
     spread = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     for scheme in {max(0, k - 1), k}:
-        m = ranges.parts(scheme)
+        d = ranges.most_different(scheme)
+        m = d + d // 10 + 3
+        part = (shingles % np.uint64(m)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
-        np.add.at(sums, (shingles % np.uint64(m)).astype(np.int64), spread)
-        out.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((scheme + 1) * 0x2545F4914F6CDD1D % (1 << 64))))
+        np.add.at(sums, part, spread)
+        filled = np.bincount(part, minlength=m) > 0
+        if filled.sum() <= d:  # else a linked set has an equal part with something in it
+            filled[:] = True
+        out.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((scheme + 1) * 0x2545F4914F6CDD1D % (1 << 64)))[filled])
     return np.concatenate(out)
 
 
