@@ -4,8 +4,8 @@ A document is the set of its word shingles. All pairs whose Jaccard similarity r
 threshold are found exactly:
 
 1. Keys. Two sets of similarity t or more differ in few shingles. The universe of shingles is
-   split by hash in one part more than they can differ in, so at least one part is equal in
-   both; how many parts depends on the size, so a set is keyed for its own size range and for
+   split by hash in more parts than they can differ in, so at least one part is equal in both,
+   and has something in it (else both fill few parts, and empty ones count too); how many parts depends on the size, so a set is keyed for its own size range and for
    the one below, and a pair within a range or in two adjacent ones shares a partition. Equal keys
    connect documents; their components (distributed union-find) hold every linked pair together.
 2. Trees. The sets of a component meet in one task, or, where there are more than ``grid_docs``
