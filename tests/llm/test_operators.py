@@ -304,3 +304,15 @@ def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n), F.lit(42)).alias("p")).collect()
         assert sorted(r.p for r in rows) == list(range(n))
+
+
+def test_line_dedup_finds_near_lines_among_a_template(spark):
+    r = random.Random(3)
+    head = _text(r, 14)  # so that the template's shingles are the ends of many orders
+    rows = [f"{head} {_text(r, 6)}" for _ in range(400)]
+    rows += [a + "x" for a in rows[:40]]
+    sets = [set(re.findall(r"(?=(\S.{0,11}))\S{1,8}\s*", x)) for x in rows]
+    pairs = [(i, 400 + i) for i in range(40) if len(sets[i] & sets[400 + i]) >= 0.8 * len(sets[i] | sets[400 + i])]
+    assert len(pairs) >= 35
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert sum(j in got for _, j in pairs) >= len(pairs) - 1
