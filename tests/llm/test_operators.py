@@ -316,3 +316,18 @@ def test_line_dedup_finds_near_lines_among_a_template(spark):
     assert len(pairs) >= 35
     got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
     assert sum(j in got for _, j in pairs) >= len(pairs) - 1
+
+
+@pytest.mark.parametrize("common, size", [(4, 5), (5, 6), (8, 10)])
+def test_line_dedup_recall_of_few_shingles(spark, common, size):
+    r, n = random.Random(9), 4000
+    words = lambda k: [f"{r.getrandbits(40):010x}" for _ in range(k)]
+    rows = []
+    for k in range(n):
+        both = words(common)
+        rows += [(2 * k, w) for w in both] + [(2 * k + 1, w) for w in both + words(size - common)]
+    hashes = spark.createDataFrame(rows, "id bigint, w string").select("id", F.xxhash64("w").alias("h"))
+    keyed = line_dedup._keys(hashes, 5, 2)
+    met = keyed.groupBy(F.expr("id div 2").alias("pair"), "key").agg(F.count("*").alias("c")).where("c > 1").select("pair").distinct().count()
+    miss = (1 - (common / size) ** 2) ** 5
+    assert abs((n - met) / n - miss) < 0.006
