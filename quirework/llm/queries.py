@@ -44,7 +44,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_texts(spark, sf_dir))
+    return line_dedup.report(_texts(spark, sf_dir), **line_dedup.WHOLE)
 
 
 def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

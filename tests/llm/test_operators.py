@@ -331,3 +331,21 @@ def test_line_dedup_recall_of_few_shingles(spark, common, size):
     met = keyed.groupBy(F.expr("id div 2").alias("pair"), "key").agg(F.count("*").alias("c")).where("c > 1").select("pair").distinct().count()
     miss = (1 - (common / size) ** 2) ** 5
     assert abs((n - met) / n - miss) < 0.006
+
+
+def test_line_dedup_links_one_character_edits_of_short_lines(spark):
+    r = random.Random(21)
+    rows, near = [], []
+
+    def shingles(line: str) -> set[str]:
+        return {line[i : i + 5] for i in range(len(line) - 4)}
+
+    for k in range(150):
+        a = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(r.randrange(3, 9))) for _ in range((8, 12, 16)[k % 3]))
+        at = r.randrange(len(a))
+        b = a[:at] + "#" + a[at + 1 :]
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+            near.append(2 * k + 1)
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
+    assert len(near) > 100 and got <= set(near) and len(got) >= len(near) - 3
