@@ -41,7 +41,25 @@ lists AS (
   FROM flagged)
 """
 
+COVER_SQL = r"""WITH d AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS t, doc_id * 7 % 11 / 10.0::DOUBLE AS ratio FROM documents WHERE source IS NOT NULL),
+n AS (SELECT *, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) AS n FROM d),
+m AS (SELECT doc_id, median(n) AS typical FROM n GROUP BY doc_id),
+l AS (SELECT *, [y FOR y IN [regexp_replace(x, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') FOR x IN string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')] IF y <> ''] AS l FROM n WHERE page_number <= 5),
+s AS (SELECT *, len(l) AS k, len([x FOR x IN l IF regexp_matches(x, '(?i)^\S.*?[\s.\x{b7}\x{2024}\x{2026}]+(?:\d{1,4}|[ivxlcdm]{1,7})$')]) AS entries, coalesce(regexp_matches(l[1], '(?i)^(?:table\s+of\s+)?contents\b[\s.:]*$'), false) AS headed FROM l),
+g AS (SELECT doc_id, page_number, n, k, ratio, CASE
+  WHEN ratio < 0.5 THEN 'not_image_dominated' WHEN n = 0 AND typical <= 0 THEN 'book_without_text' WHEN n = 0 AND ratio < 0.75 THEN 'untexted_small_image'
+  WHEN headed OR (k >= 5 AND entries >= 4 AND 2 * entries >= k) THEN 'toc_like'
+  WHEN regexp_matches(lower(t), 'copyright|all rights reserved|isbn|library of congress|first published|printed in|no part of this publication') THEN 'front_matter'
+  WHEN n >= 400 OR k >= 12 THEN 'body_text' WHEN n > 120 THEN 'too_much_text' WHEN n > 0 AND typical > 0 AND n > 0.5 * typical THEN 'not_sparse_for_the_book' END AS rejected FROM s JOIN m USING (doc_id)),
+c AS (SELECT *, CASE WHEN rejected IS NULL THEN round(40.0::DOUBLE * least(1.0::DOUBLE, ratio / 0.9::DOUBLE) + [30, 12, 8, 6, 4][page_number] + CASE WHEN n BETWEEN 1 AND 120 AND k <= 6 THEN 15 ELSE 0 END + 5, 1) ELSE 0.0::DOUBLE END AS score FROM g),
+scored AS (SELECT doc_id, page_number::INTEGER AS page_number, rejected, score, rejected IS NULL AND score >= 55 AS eligible FROM c)
+"""
+
 ORACLES = {
+    "cover_scores": f"{COVER_SQL} SELECT * FROM scored",
+    "cover_decide": f"""{COVER_SQL}, o AS (SELECT *, row_number() OVER w AS rank, lead(CASE WHEN eligible THEN score END) OVER w AS next FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY eligible DESC, score DESC, page_number)),
+f AS (SELECT *, eligible AND NOT coalesce(score - next < 12, false) AS chosen FROM o WHERE rank = 1)
+SELECT doc_id, CASE WHEN chosen THEN page_number::DOUBLE END AS cover_page, CASE WHEN eligible THEN score ELSE 0.0::DOUBLE END AS score, CASE WHEN chosen THEN 'selected' WHEN eligible THEN 'ambiguous' ELSE 'none_eligible' END AS decision FROM f""",
     "furniture_exact": f"""WITH {q.LINES_SQL}
 SELECT doc_id, region, text, first_page, n_pages, n_occurrences, confidence,
        'repeated_across_pages,position_in_' || region || '_region,positional_consistency' || CASE WHEN numbered THEN ',page_number_pattern' ELSE '' END || CASE WHEN median_chars <= 60 THEN ',short_text' ELSE '' END || ',single_line' AS reasons

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text as tx
@@ -214,16 +214,16 @@ def chapters_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cover_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents of each source as pages, with image areas from their ids."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 8).alias("first"))
-    pages = docs.select(F.col("source").alias("book"), F.posexplode("first").alias("at", "d")).join(table(spark, sf_dir, "documents"), F.col("d") == F.col("doc_id"))
-    rows = pages.select(F.col("book").alias("doc_id"), (F.col("at") + 1).alias("page_number"), F.substring("text", 1, 90).alias("text"), F.lit(1).alias("image_count"), ((F.col("d") * 7) % 11 / 10.0).alias("image_area_ratio"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
-    return cover.signals(rows.withColumn("text", F.when(F.col("page_number") % 2 == 1, F.substring("text", 1, 30)).otherwise(F.col("text"))))
+    """Whole documents of each source as pages, with image areas from their ids."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("source").alias("doc_id"), "text", F.lit(1).alias("image_count"), ((F.col("doc_id") * 7) % 11 / 10.0).alias("image_area_ratio"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    return cover.signals(rows)
 
 
 def cover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each book's first pages against the medians of all its pages; a limit per book goes before the shuffle."""
     found = _cover_signals(spark, sf_dir)
-    return cover.score(found, cover.page_medians(found))
+    numbered = found.withColumn("page_number", F.row_number().over(Window.partitionBy("doc_id").orderBy("d")))
+    return cover.score(numbered, cover.page_medians(found))
 
 
 def cover_decide(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,3 +157,14 @@ def test_heading_threshold_counts_signals(spark):
     assert got[0][0] and "font_size_strongly_above_body_baseline" in got[0][1]
     assert not got[1][0] and got[1][1] == ["large_spacing_before", "long_paragraph"]
     assert got[2] == (False, ["long_paragraph"])
+
+
+def test_cover_queries_judge_whole_texts_of_all_documents(spark, tmp_path):
+    from quirework.plans.queries import QUERIES
+
+    body = "word " * 200  # image areas: 0.7, 0.3, 1.0, 0.6, 0.2, 0.9, 0.5, 0.1, 0.8, 0.4
+    texts = [body, body, "A Title", body, "x"] + [body] * 20
+    rows = [(k + 1, "s", t) for k, t in enumerate(texts)] + [(3 + 11 * k, "t", t) for k, t in enumerate(["n" * 150, "n" * 30, "n" * 30] + ["n" * 40] * 9)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.page_number): r.rejected for r in QUERIES["cover_scores"](spark, str(tmp_path)).collect()}
+    assert len(got) == 10 and got["s", 1] == "body_text" and got["s", 3] is None and got["t", 1] == "too_much_text" and got["t", 2] == "not_sparse_for_the_book"
