@@ -349,3 +349,44 @@ def test_line_dedup_links_one_character_edits_of_short_lines(spark):
             near.append(2 * k + 1)
     got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
     assert len(near) > 100 and got <= set(near) and len(got) >= len(near) - 3
+
+
+def _char_shingles(line: str) -> set[str]:
+    return {line[i : i + 5] for i in range(len(line) - 4)} or {line}
+
+
+def test_line_dedup_recall_of_long_lines_at_the_threshold(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    rows, near = [], []
+    for k in range(400):
+        a = [word() for _ in range(r.choice((20, 45, 90, 200)))]
+        b = list(a)
+        for at in r.sample(range(len(b)), max(1, len(b) // 15)):
+            b[at] = word()
+        x, y = " ".join(a), " ".join(b)
+        rows += [(2 * k, x), (2 * k + 1, y)]
+        if len(_char_shingles(x) & _char_shingles(y)) >= 0.8 * len(_char_shingles(x) | _char_shingles(y)):
+            near.append(2 * k + 1)
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
+    assert len(near) > 150 and got <= set(near) and len(got) >= 0.95 * len(near)
+
+
+def test_line_dedup_links_repetitive_lines_of_other_lengths(spark):
+    rows = [(1, "ha " * 30), (2, "ha " * 200), (3, "tock " * 300), (4, "tock " * 41)]
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
+    assert got == {2, 4}
+
+
+def test_whole_line_dedup_of_odd_rows(spark, nothing):
+    long = "one very long line of words that goes on " * 3
+    rows = [(1, "x\n\n \nx", "a"), (2, "x\ny", "b"), (2, "x\ny", "c"), (2, "z\nx", "d"), (None, "x", "e"), (3, None, "f"), (4, "", "g"), (5, "x", "h"), (6, long + "\n" + long, "i"), (7, long[:-1] + "!", "j")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, removed string")
+    docs = docs.withColumns({"tie": F.col("removed"), "row": F.col("removed")})
+    got = {(x.doc_id, x.n_lines, tuple(x.removed)) for x in line_dedup.report(docs, **line_dedup.WHOLE).collect()}
+    # rows that are equal lose the same lines; rows without an id lose none
+    assert got == {(1, 4, (3,)), (2, 2, (0,)), (2, 2, (1,)), (None, 1, ()), (3, 0, ()), (4, 1, ()), (5, 1, (0,)), (6, 2, (1,)), (7, 1, (0,))}
+    left = line_dedup.drop_lines(docs, **line_dedup.WHOLE)
+    assert left.columns == docs.columns
+    assert sorted((x.removed, x.text) for x in left.collect()) == [("a", "x\n\n "), ("b", "y"), ("c", "y"), ("d", "z"), ("e", "x"), ("f", None), ("g", ""), ("i", long)]
+    assert line_dedup.drop_lines(nothing, **line_dedup.WHOLE).count() == 0
