@@ -1,26 +1,29 @@
 """N-gram Jaccard join of documents, with signature trees.
 
 A document is the set of its word shingles. All pairs whose Jaccard similarity reaches the
-threshold are found exactly:
-
-1. Keys. Two sets of similarity t or more differ in few shingles. The universe of shingles is
-   split by hash in more parts than they can differ in, so at least one part is equal in both,
-   and has something in it (else both fill few parts, and empty ones count too); how many parts depends on the size, so a set is keyed for its own size range and for
-   the one below, and a pair within a range or in two adjacent ones shares a partition. Equal keys
-   connect documents; their components (distributed union-find) hold every linked pair together.
-2. Trees. The sets of a component meet in one task, or, where there are more than ``grid_docs``
-   of them, in one task for each pair of its blocks. Each block is a signature tree: leaves hold
-   bitmaps of shingles, nodes the OR of their children's and the range of their sizes. A dual
-   traversal drops node pairs whose sizes or largest possible overlap rule out a link, and those
-   already connected; the leaf pairs left are compared exactly.
-3. The links of a spanning set give the final components.
-
-Shingles and keys are 64-bit hashes. Keys travel packed, by hash bucket, so a hot key costs one
-entry for each batch of documents with distinct sets, not one row for each document.
+threshold are found exactly, and only verified links connect documents:
+
+1. Counts. Each block of documents asks, by hash bucket, in how many sets each of its shingles is. A
+   linked set has at least the threshold's share of its shingles in others: all other sets leave here.
+2. Neighbourhoods. Under the order of all shingles from the rarest on, two linked sets share one of
+   their first n - ceil(t * n) + 1. Sets with such a shingle in common meet at the smallest of them:
+   its neighbourhood holds all their pairs. Copies of one set stand aside, linked to their first. So
+   passages that many documents share come last and rarely bring anybody together, and nobody meets
+   over a chain of others.
+3. Trees. The sets of a neighbourhood meet in one task, or, where they are more than ``grid_docs`` or
+   ``GRID_SHINGLES``, in one task for each pair of its blocks. Each block is a signature tree: leaves
+   hold bitmaps of shingles, nodes the OR of their children's and the range of their sizes. A dual
+   traversal drops node pairs whose sizes or largest possible overlap rule out a link; the leaf pairs
+   left that aren't connected yet are compared exactly.
+4. The links of all neighbourhoods give the components (distributed union-find).
+
+Shingles are 64-bit hashes. They travel packed, by hash bucket, as 32 bits beside the bucket: what
+then collides can only bring more sets together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, stored
 from .components import components
 from .frames import map_texts
-from .kernels import LOWER, NOT_SPACE, chunks, grams, mix, prefix, slice_hash, spans, words
-from .packed import planes, unpacked
+from .kernels import LOWER, NOT_SPACE, chunks, grams, prefix, slice_hash, spans, words
+from .packed import EMPTY, block_plan, in_blocks, packed, planes, rows_of, unpacked
 
 BUCKET_BYTES = 16 << 20
 EXACT_BITS = 1 << 15
 FANOUT = 8
-KEY_BITS = np.uint64(0xFFFFFFFFFF000000)  # what is sent of a key, beside its bucket; what else then collides is told apart later
 TILE_BYTES = 16 << 20  # bitmaps compared at once
+GRID_SHINGLES = 4 << 20  # shingles of one block of a neighbourhood
+LEAF_PAIRS = 4096  # pairs between two looks at what is connected
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -56,91 +60,130 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.n
                 yield grams(h[a:b], b - a) + np.uint64(b - a) if b > a else np.zeros(0, np.uint64)
 
 
-class Ranges:
-    """Size ranges such that linked sets are in the same or in adjacent ones, and the parts each needs."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.low = [1]
-
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, self.low[-1] * 100 // self.percent + 1))
-        return int(np.searchsorted(self.low, n, "right")) - 1
-
-    def most_different(self, k: int) -> int:
-        """In how many shingles a set of range k can differ from a linked one, no smaller, of k or k + 1."""
-        self.of(self.low[-1] if k + 1 >= len(self.low) else 1)
-        return (self.low[k + 1] - 1) * (100 - self.percent) // self.percent
-
-
-def keys(shingles: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """The keys of one set; two linked sets share at least one."""
-    if not len(shingles):
-        return np.zeros(0, np.uint64)
-    k = ranges.of(len(shingles))
-    out = []
-    spread = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    for scheme in {max(0, k - 1), k}:
-        d = ranges.most_different(scheme)
-        m = d + d // 10 + 3
-        part = (shingles % np.uint64(m)).astype(np.int64)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, part, spread)
-        filled = np.bincount(part, minlength=m) > 0
-        if filled.sum() <= d:  # else a linked set has an equal part with something in it
-            filled[:] = True
-        out.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((scheme + 1) * 0x2545F4914F6CDD1D % (1 << 64)))[filled])
-    return np.concatenate(out)
-
-
-def _key_blobs(size: int, percent: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = Ranges(percent)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            firsts: dict[bytes, int] = {}
-            same: list[tuple[int, int]] = []
-            found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for doc, s in zip(ids.tolist(), shingle_sets(*spans(batch.column(1)), size), strict=True):
-                if not len(s):
+class BlockSets:
+    """The distinct sets of a block of documents, each with its smallest document, and the copies of them."""
+
+    def __init__(self, table: pa.Table, size: int):
+        ids = table["doc_id"].to_numpy()
+        sets = list(shingle_sets(*spans(table["text"]), size))
+        firsts: dict[bytes, int] = {}
+        self.copies: list[tuple[int, int]] = []
+        self.docs: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.digests: list[int] = []
+        for i in np.argsort(ids, kind="stable").tolist():
+            if len(sets[i]):
+                digest = hashlib.blake2b(sets[i], digest_size=16).digest()
+                first = firsts.setdefault(digest, i)
+                if first == i:
+                    self.docs.append(int(ids[i]))
+                    self.sets.append(sets[i])
+                    self.digests.append(int.from_bytes(digest[:8], "little"))
+                elif ids[first] != ids[i]:
+                    self.copies.append((int(ids[i]), int(ids[first])))
+        flat = np.concatenate([EMPTY, *self.sets])
+        self.names, self.inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        self.times = np.minimum(counts, 2)  # a shingle of several sets is sent twice
+        self.cuts = np.cumsum([0, *map(len, self.sets)])
+
+    def sent(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        names = np.repeat(self.names, self.times)
+        return names, _bucket(names, buckets)
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _upper(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(32)).astype(np.uint32)
+
+
+def _asked(size: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        names, bucket = BlockSets(table, size).sent(buckets)
+        return packed(table["block"][0].as_py(), bucket, buckets, names=_upper(names))
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """In how many sets each shingle is (255 for more), in the order in which each block asked."""
+    name, row = unpacked(table, "names", np.uint32), rows_of(table, "names", 4)
+    _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
+    times = np.minimum(times, 255).astype(np.uint8)[inverse]
+    cut = np.searchsorted(row, np.arange(len(table) + 1))
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([planes(times[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+
+def first_shingles(n: int, percent: int) -> int:
+    """How many of the rarest shingles of a set of n must hold one of any linked set's rarest."""
+    return n + percent * n // -100 + 1
+
+
+def _posted(size: int, percent: int, buckets: int):
+    """Rows of the rarest shingles of the sets that may have a link; in bucket -1 the copies within the block."""
+
+    def run(held: pa.Table, counted: pa.Table) -> pa.Table:
+        names, docs, sizes, digests, copies = [EMPTY], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [EMPTY], []
+        if len(held) and len(counted):
+            block = BlockSets(held, size)
+            copies = block.copies
+            sent, bucket = block.sent(buckets)
+            times = np.zeros(len(sent), np.uint8)
+            times[np.argsort(bucket, kind="stable")] = unpacked(counted.sort_by("bucket"), "counts", np.uint8)
+            times = times[np.cumsum(block.times) - 1][block.inverse]
+            for doc, s, digest, a, b in zip(block.docs, block.sets, block.digests, block.cuts[:-1].tolist(), block.cuts[1:].tolist(), strict=True):
+                known = times[a:b]
+                if 100 * int((known > 1).sum()) < percent * len(s):
                     continue
-                first = firsts.setdefault(s.tobytes(), doc)
-                if first != doc:  # a copy: one key connects it
-                    same.append((doc, first))
-                else:
-                    found.append(keys(s, ranges))
-                    docs.append(np.full(len(found[-1]), doc))
-            key, doc = np.concatenate(found), np.concatenate(docs)
-            if same:  # copies meet their first under a key of their own
-                pair = np.array(same, np.int64)
-                own = mix(pair[:, 1].astype(np.uint64) ^ np.uint64(0x6A09E667F3BCC909))
-                key, doc = np.concatenate([key, own, own]), np.concatenate([doc, pair[:, 0], pair[:, 1]])
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            key = key & KEY_BITS
-            order = np.argsort(bucket, kind="stable")
-            key, doc, bucket = key[order], doc[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for lo in range(0, buckets, 256):
-                own = [b for b in range(lo, min(buckets, lo + 256)) if cuts[b + 1] > cuts[b]]
-                if own:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int32()), pa.array([planes(key[cuts[b] : cuts[b + 1]]) for b in own], pa.binary()), pa.array([planes(doc[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())],
-                        ["bucket", "keys", "docs"],
-                    )
+                rarest = np.lexsort((s, known))[: first_shingles(len(s), percent)]
+                rarest = rarest[known[rarest] > 1]
+                names.append(s[rarest])
+                docs.append(np.full(len(rarest), doc))
+                sizes.append(np.full(len(rarest), len(s), np.int32))
+                digests.append(np.full(len(rarest), digest, np.uint64))
+        name, number = np.concatenate(names), held["block"][0].as_py() if len(held) else 0
+        out = packed(number, _bucket(name, buckets), buckets, names=_upper(name), docs=np.concatenate(docs), sizes=np.concatenate(sizes), digests=np.concatenate(digests))
+        if copies:
+            pair = np.array(copies, np.int64)
+            own = {"names": pair[:, 0], "docs": pair[:, 1], "sizes": np.zeros(0, np.int32), "digests": EMPTY}
+            out = pa.concat_tables([out, pa.table({"bucket": pa.array([-1], pa.int32()), "block": pa.array([number], pa.int32()), **{k: pa.array([planes(v)], pa.binary()) for k, v in own.items()}})])
+        return out.drop_columns("block")
 
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Edges from each document to the smallest one that has a key in common."""
-    key, doc = unpacked(table, "keys"), unpacked(table, "docs", np.int64)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    edges = np.unique(np.stack([doc, least], 1)[doc != least], axis=0)
-    return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield pa.RecordBatch.from_arrays([pa.array(unpacked(table, c, np.int64)) for c in ("names", "docs")], ["a", "b"])
+
+
+def _neighbours(table: pa.Table) -> pa.Table:
+    """(a, b, n, same): a set's document, the smallest one with a rarest shingle in common, the set's size; or a copy and its first."""
+    name, doc = unpacked(table, "names", np.uint32), unpacked(table, "docs", np.int64)
+    size, digest = unpacked(table, "sizes", np.int32), unpacked(table, "digests")
+    order = np.lexsort((doc, digest, name))
+    name, doc, size, digest = (x[order] for x in (name, doc, size, digest))
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (digest[1:] != digest[:-1])]) if len(name) else np.zeros(0, bool)
+    first = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(name) else doc
+    copy = np.stack([doc, first], 1)[doc != first]
+    name, doc, size = name[new], doc[new], size[new]
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(name))))
+    least = np.minimum.reduceat(doc, begin)[group] if len(name) else doc
+    several = np.bincount(group, minlength=len(begin))[group] > 1
+    near = np.unique(np.stack([doc, least, size], 1)[several], axis=0)
+    copy = np.unique(copy, axis=0)
+    return pa.table(
+        {
+            "a": np.concatenate([near[:, 0], copy[:, 0]]),
+            "b": np.concatenate([near[:, 1], copy[:, 1]]),
+            "n": np.concatenate([near[:, 2], np.zeros(len(copy), np.int64)]),
+            "same": np.arange(len(near) + len(copy)) >= len(near),
+        }
+    )
 
 
 class Tree:
@@ -216,9 +259,12 @@ def spanning_links(docs: list[int], sets: list[np.ndarray], percent: int, blocks
                 x, y = x[fine], y[fine]
             if level_a == 0 and level_b == 0:
                 x, y = groups[0][x], groups[-1][y]
-                for p, q in zip(x.tolist(), y.tolist(), strict=True):
-                    if label[p] != label[q] and (exact or _linked(sets[order[p]], sets[order[q]], percent)):
-                        join(p, q)
+                for some in range(0, len(x), LEAF_PAIRS):
+                    p, q = x[some : some + LEAF_PAIRS], y[some : some + LEAF_PAIRS]
+                    apart = label[p] != label[q]
+                    for i, k in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+                        if label[i] != label[k] and (exact or _linked(sets[order[i]], sets[order[k]], percent)):
+                            join(i, k)
                 continue
             down_a, down_b = max(level_a - 1, 0), max(level_b - 1, 0)
             x, y = _children(x, level_a, len(left.levels[down_a][0])), _children(y, level_b, len(right.levels[down_b][0]))
@@ -266,22 +312,31 @@ def jaccard_components(
 
     Documents link when 100 * |A n B| >= percent * |A u B|. Ids are integers; rows without an id
     are left out, rows with the same id are one document with the links of each. Null and empty
-    texts have no shingles and no links.
+    texts have no shingles and no links; an empty table gives no rows. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(256, total // BUCKET_BYTES)
-    blobs = texts.mapInArrow(_key_blobs(size, percent, buckets), "bucket int, keys binary, docs binary")
-    near = cut(components(blobs.groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint")))
-    blocks = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / grid_docs).cast("int").alias("n_blocks"))
-    near = near.join(blocks.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).drop("r")
+    blocks, buckets = block_plan(texts)
+    held = in_blocks(texts, blocks).groupBy("block")
+    counted = held.applyInArrow(_asked(size, buckets), "bucket int, block int, names binary").groupBy("bucket").applyInArrow(_counted, "block int, bucket int, counts binary")
+    posted = stored(held.cogroup(counted.groupBy("block")).applyInArrow(_posted(size, percent, buckets), "bucket int, names binary, docs binary, sizes binary, digests binary"))
+    met = stored(posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_neighbours, "a bigint, b bigint, n bigint, same boolean").distinct())
+    copies = posted.where("bucket < 0").mapInArrow(_copies, "a bigint, b bigint").union(met.where("same").select("a", "b"))
+    # neighbourhoods, in blocks where they are large
+    near = met.where("NOT same").groupBy("a", "b").agg(F.max("n").alias("n")).select(F.col("a").alias("node"), F.col("b").alias("comp"), "n")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / grid_docs, F.sum("n") / GRID_SHINGLES)).cast("int")
+    sizes = near.groupBy("comp").agg(parts.alias("n_blocks")).withColumnRenamed("comp", "c2")
+    near = near.join(sizes, F.col("comp") == F.col("c2"))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    near = near.select("node", F.col("root").alias("comp"), block.alias("block"), other.alias("other"))
-    near = near.select("node", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    met = texts.join(near, texts.doc_id == near.node).withColumn("bucket", F.pmod(F.xxhash64("comp", "p", "q"), F.lit(buckets)))
-    links = met.select("bucket", "comp", "p", "q", "block", "doc_id", "text").groupBy("bucket").applyInArrow(_component_links(size, percent), "a bigint, b bigint")
-    return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    near = near.select("node", "comp", "n", block.alias("block"), other.alias("other"))
+    near = stored(near.select("node", "comp", "n", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
+    tasks = max(16, (near.agg(F.sum("n")).first()[0] or 0) * 8 // BUCKET_BYTES)
+    found = texts.join(near, texts.doc_id == near.node).withColumn("bucket", F.pmod(F.xxhash64("comp", "p", "q"), F.lit(tasks)))
+    links = found.select("bucket", "comp", "p", "q", "block", "doc_id", "text").groupBy("bucket").applyInArrow(_component_links(size, percent), "a bigint, b bigint")
+    links = stored(links.union(copies))
+    out = components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    discard(posted, met, near, links)
+    return out
 
 
 def report(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
