@@ -1,10 +1,17 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
 Beside three patterns (assignments to well-known names, access key ids, long hexadecimal runs),
-texts are lexed into pairs of a name and an expression of literals and names (``name = "a" + B``,
-``"name": "value"``, ``name := value``, ``name => value``, ``name: value``). Names are constants
-from their assignment on, so a literal that reaches a sensitive name through others is found where
-it stands. A literal is scored by the target's name, times how much it looks like a random value.
+texts are lexed into pairs of a name and an expression (``name = "a" + B``, ``"name": "value"``,
+``name := value``, ``name => value``, ``name: value``). Expressions are literals in single, double or
+triple quotes, bare values and names, joined by ``+`` or by standing side by side, over several lines
+inside parentheses or after ``+``. Names are constants from their assignment on, to the end of the braces
+around it, so a literal that reaches a sensitive name through others is found where it stands.
+Comments and quoted text are lexed like code, as secrets leak there too. A literal is scored by the
+target's name, times how much the target's whole value looks random.
+
+A constant is a node that points to its literals and to the constants it is made of, with the counts
+of its characters: nothing is copied along chains of assignments, and the literals of all sensitive
+targets are walked once, so time and memory are in proportion to the text.
 """
 
 from __future__ import annotations
@@ -12,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as a shorter run cannot match
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=$-]+)"""
-PAIR = re.compile(rf"""(?<![\w.$-])["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*({_TERM}(?:[\x20\t]*\+[\x20\t]*{_TERM})*)""", re.ASCII)
-TERM = re.compile(_TERM, re.ASCII)
+#: What the lexer stops at: the name and operator of a pair, and braces.
+EVENT = re.compile(r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))|(?P<open>\{)|(?P<close>\})""", re.ASCII)
+TERM = re.compile(
+    r"""(?P<triple>\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3})|(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<bare>[A-Za-z0-9+/_.=$-]+)""", re.ASCII
+)
+BLANK, BLANK_LINES, QUOTE = re.compile(r"[\x20\t]*"), re.compile(r"(?:\s|\\\n)*"), re.compile(r"[\"']")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[_-]?|xxxx|\*\*\*|<[^>]*>|\$\{?[a-z_]|^(?:true|false|none|null)$")
 
@@ -38,6 +50,7 @@ SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key
 NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "string")
 THRESHOLD = 0.6
 SHORTEST = 8
+MOST = 1 << 62  # where counts of characters stop
 
 
 def name_score(name: str) -> float:
@@ -46,52 +59,148 @@ def name_score(name: str) -> float:
     return max([one, *(SENSITIVE_PAIRS.get(p, 0.0) for p in zip(parts, parts[1:]))])  # noqa: B905
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: short values and placeholders 0, else by entropy and the kinds of characters."""
-    if len(value) < SHORTEST or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 3.5) * (0.6 if kinds == 1 else 1.0)
+class Value:
+    """What a name stands for: literals of its own and other values, and the counts of its characters."""
+
+    __slots__ = ("spans", "of", "counts", "plain")
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+        self.of: list[Value] = []
+        self.counts: Counter[str] = Counter()
+        self.plain = False  # a placeholder or blank in it: no secret
+
+    def literal(self, start: int, end: int, text: str) -> None:
+        self.spans.append((start, end))
+        self.counts.update(text)
+        self.plain |= bool(PLACEHOLDER.search(text)) or any(c.isspace() for c in text)
+
+    def constant(self, other: Value) -> None:
+        self.of.append(other)
+        self.plain |= other.plain
+        for c, n in other.counts.items():
+            self.counts[c] = min(MOST, self.counts[c] + n)
+
+    def score(self) -> float:
+        """0 to 1: short values and placeholders 0, else by entropy and the kinds of characters."""
+        n = sum(self.counts.values())
+        if n < SHORTEST or self.plain:
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in self.counts.values())
+        kinds = sum(any(map(f, self.counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(1.0, entropy / 3.5) * (0.6 if kinds == 1 else 1.0)
+
+
+class Scopes:
+    """Constants by name; what braces enclose ends with them."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[Value]] = {}
+        self.inside: list[list[str]] = []
+
+    def get(self, name: str) -> Value | None:
+        stack = self.known.get(name)
+        return stack[-1] if stack else None
+
+    def set(self, name: str, value: Value) -> None:
+        if self.inside:
+            self.known.setdefault(name, []).append(value)
+            self.inside[-1].append(name)
+        else:
+            self.known[name] = [value]
+
+    def close(self) -> None:
+        for name in self.inside.pop() if self.inside else ():
+            self.known[name].pop()
+
+
+def _expression(text: str, at: int, scopes: Scopes) -> Value:
+    """The value of the terms from ``at`` on."""
+    out, depth = Value(), 0
+    bare: tuple[int, int] | None = None
+    terms = 0
+    at = BLANK.match(text, at).end()
+    while True:
+        while text.startswith("(", at):
+            depth, at = depth + 1, BLANK_LINES.match(text, at + 1).end()
+        term = TERM.match(text, at)
+        if not term:
+            break
+        terms += 1
+        at, kind = term.end(), term.lastgroup
+        if kind != "bare":
+            width = 3 if kind == "triple" else 1
+            out.literal(term.start() + width, at - width, term.group()[width:-width])
+        elif (known := scopes.get(term.group())) is not None:
+            out.constant(known)
+        else:
+            bare = term.span()
+        skip = BLANK_LINES if depth else BLANK
+        after = skip.match(text, at).end()
+        if text.startswith("+", after):
+            at = BLANK_LINES.match(text, after + 1).end()
+        elif kind != "bare" and QUOTE.match(text, after):
+            at = after
+        else:
+            break
+    if bare and terms == 1:  # a bare value alone is a literal, within an expression an unknown name
+        out.literal(*bare, text[slice(*bare)])
+    return out
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    scopes, targets = Scopes(), []
+    for event in EVENT.finditer(text):
+        if event["open"]:
+            scopes.inside.append([])
+        elif event["close"]:
+            scopes.close()
+        else:
+            value = _expression(text, event.end(), scopes)
+            scopes.set(event["name"], value)
+            how = name_score(event["name"])
+            if how and (how := how * value.score()) >= threshold:
+                targets.append((how, value))
+    # best targets first: what one has reached needs no second walk
     found: dict[tuple[int, int], float] = {}
-    for pair in PAIR.finditer(text):
-        parts: list[tuple[int, int, str]] = []
-        terms = [(m.start() + pair.start(2), m.group()) for m in TERM.finditer(pair.group(2))]
-        for at, term in terms:
-            if term[0] in "\"'":
-                parts.append((at + 1, at + len(term) - 1, term[1:-1]))
-            elif term in constants:
-                parts += constants[term]
-            elif len(terms) == 1:
-                parts.append((at, at + len(term), term))
-        constants[pair.group(1)] = parts
-        how = name_score(pair.group(1))
-        if how:
-            how *= literal_score("".join(p[2] for p in parts))
-        if how >= threshold:
-            for start, end, _ in parts:
-                if end > start:
-                    found[start, end] = max(how, found.get((start, end), 0.0))
+    seen: set[int] = set()
+    for how, value in sorted(targets, key=lambda t: -t[0]):
+        todo = [value]
+        while todo:
+            node = todo.pop()
+            if id(node) not in seen:
+                seen.add(id(node))
+                todo += node.of
+                for start, end in node.spans:
+                    if end > start:
+                        found.setdefault((start, end), how)
     return [(*span, how) for span, how in sorted(found.items())]
 
 
-def scan(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every secret, by start, then kind; code points, end exclusive."""
-    low = text.lower()
+def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
     spans: list[tuple[str, int, int]] = []
     if any(h in low for h in ASSIGN_HINTS):
         spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    spans += [("hex", *m.span()) for m in HEX.finditer(text)]
+    return spans + [("hex", *m.span()) for m in HEX.finditer(text)]
+
+
+def scan(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every secret, by start, then kind; code points, end exclusive.
+
+    Literals inside a span of another kind aren't said twice.
+    """
+    low = text.lower()
+    spans = base_spans(text, low)
     if ("=" in text or ":" in text) and any(h in low for h in NAME_HINTS):
         base = sorted((a, b) for _, a, b in spans)
-        spans += [("literal", a, b) for a, b, _ in lexed(text) if not any(x <= a and b <= y for x, y in base)]
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        for a, b, _ in lexed(text):
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                spans.append(("literal", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -103,7 +212,9 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Per row: counts by kind, the digest of the base kinds' spans, and all spans as text.
 
     A null text is empty; without secrets the digest is that of the empty string and ``spans`` is
-    empty. Repeated rows are scanned each.
+    empty. Repeated rows are scanned each, a null id is kept as it is, and an empty table gives no rows.
+    Very long texts are scanned whole, in time and memory in proportion to their length. Other columns
+    are not read, so their names cannot clash.
     """
 
     def kernel(data: np.ndarray, offs: np.ndarray) -> dict[str, pa.Array]:

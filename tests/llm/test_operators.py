@@ -390,3 +390,64 @@ def test_whole_line_dedup_of_odd_rows(spark, nothing):
     assert left.columns == docs.columns
     assert sorted((x.removed, x.text) for x in left.collect()) == [("a", "x\n\n "), ("b", "y"), ("c", "y"), ("d", "z"), ("e", "x"), ("f", None), ("g", ""), ("i", long)]
     assert line_dedup.drop_lines(nothing, **line_dedup.WHOLE).count() == 0
+
+
+def _base_by_definition(text: str) -> list[tuple[int, int, str]]:
+    found = []
+    name = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    for order, (kind, pattern, group, least) in enumerate((("assign", name + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))):
+        found += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    return [(a, b, k) for a, _, k, b in sorted(found)]
+
+
+def test_secrets_against_the_definition(spark):
+    r = random.Random(12)
+    parts = ["password", "PassWd", "token", "apı_key", "api_key", "ApiKey", "secret", '"', "'", " ", ":", "=", "\n", "AKIA", "AKIAQ7XM4N2P9RST", "deadbeef", "0123456789abcdef", "hunter2hunter2", "a+b/c_d.e=f-g", "é", "日本", "{", "}", "(", ")", "+", '"""', "\\", "x", "#", "K"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(400)] + [None, ""]
+    got = {x.doc_id: x for x in secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = _base_by_definition(text or "")
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for *_, k in want) for x in ("assign", "access", "hex"))
+        assert got[i].base_sha256 == digest
+        said = [tuple(x.split(":")) for x in got[i].spans.split(",") if x]
+        assert [x for x in said if x[0] != "literal"] == [(k, str(a), str(b)) for a, b, k in want]
+
+
+def test_secrets_lexer_follows_syntax():
+    found = lambda text: [text[a:b] for _, a, b in secrets.scan(text)]
+    assert found('db_pwd = ("q7Rk2Zp9"\n  "xLm4Tw8K")\n') == ["q7Rk2Zp9", "xLm4Tw8K"]
+    assert found('auth_pwd = """q7Rk2Zp9xLm4T"""\n') == ["q7Rk2Zp9xLm4T"]
+    assert found("part = 'q7Rk2Zp9xLm4T'\nmy_pwd = part + \\\n '9'\n") == ["q7Rk2Zp9xLm4T", "9"]
+    # a constant ends with the braces around it
+    assert found("f() { part = 'q7Rk2Zp9xLm4T' }\nmy_pwd = part\n") == []
+    assert found("part = 'q7Rk2Zp9xLm4T'\nf() { my_pwd = part }\n") == ["q7Rk2Zp9xLm4T"]
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    doubled = "a = 'x9Kq'\n" + "a = a + a\n" * 5000 + "pwd = 'q7Rk2Zp9xLm4T' + a\n"
+    assert [doubled[a:b] for _, a, b in secrets.scan(doubled)] == ["x9Kq", "q7Rk2Zp9xLm4T"]
+    chain = "c0 = 'q7Rk2Zp9xLm4T'\n" + "".join(f"c{k} = c{k - 1} + 'v{k}Zq'\npwd_{k} = c{k}\n" for k in range(1, 4000))
+    assert len(secrets.scan(chain)) == 4000
+    many = "".join(f"pwd_{k} = 'q7Rk2Zp9xL{k}'\npassword: q7Rk2Zp9xL{k}\n" for k in range(20000))
+    assert len(secrets.scan(many)) == 40000
+    assert secrets.scan("word " * 2_000_000) == []
+    assert time.perf_counter() - began < 60
+
+
+def test_neighbourhoods_grow_with_the_links(spark, monkeypatch):
+    """A passage in all documents brings none together; what meets is in proportion to the linked documents."""
+    sizes = []
+    stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: (sizes.append(df.count()) if "comp" in df.columns else None) or stored(df))
+    passage = _text(random.Random(1), 60)
+    for n in (60, 240):
+        r = random.Random(n)
+        rows = [(k, f"{_text(r, 80)} {passage} {_text(r, 80)}") for k in range(n)]
+        rows += [(1000 + k, text + " end") for k, text in rows[: n // 4]]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert jaccard.jaccard_components(docs, size=5, percent=80).count() == n // 4 * 2
+    assert sizes[0] <= 2 * 30 and sizes[1] <= 2 * 120
