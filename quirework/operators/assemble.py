@@ -58,10 +58,11 @@ def image_resources(image_blocks: DataFrame) -> DataFrame:
 
 
 def metadata(explicit: DataFrame, found: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Each field as given, else as found in the file, else empty."""
+    """Each field as given, else as found in the file, else empty; blank values count as missing, others stay as they are."""
     f = found.select(F.col("doc_id").alias("fd"), *[F.col(c).alias(f"found_{c}") for c in fields])
     rows = explicit.join(f, F.col("doc_id") == F.col("fd"), "left")
-    return rows.select("doc_id", *[first_filled(F.trim(c), F.trim(f"found_{c}")).alias(c) for c in fields])
+    filled = lambda c: F.when(~is_blank(F.col(c)), F.col(c))
+    return rows.select("doc_id", *[first_filled(filled(c), filled(f"found_{c}")).alias(c) for c in fields])
 
 
 def package_metadata(meta: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ SELECT doc_id, 'chapter-' || CASE WHEN page_number < 10 THEN '0' ELSE '' END ||
     "resource_names": f"""WITH n AS (SELECT *, CASE WHEN lower(ext) IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN lower(ext) = 'png' THEN 'image/png' WHEN head LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN head LIKE '4749463839%' THEN 'image/gif' ELSE 'application/octet-stream' END AS media_type FROM {q._values(q.NAMES, q.NAMES_SCHEMA)})
 SELECT number, media_type, 'image-' || lpad(number::VARCHAR, 3, '0') || '.' || CASE media_type WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'image/gif' THEN 'gif' ELSE 'bin' END AS image,
 'chapter-' || CASE WHEN number < 10 THEN '0' ELSE '' END || number || '.xhtml' AS chapter FROM n""",
-    "metadata_resolve": f"""SELECT m.doc_id, coalesce(nullif(trim(m.title), ''), nullif(trim(f.title), ''), '') AS title, coalesce(nullif(trim(m.author), ''), nullif(trim(f.author), ''), '') AS author,
-coalesce(nullif(trim(m.language), ''), nullif(trim(f.language), ''), '') AS language
-FROM (SELECT * FROM {q._values(q.META, q.META_SCHEMA)}) m LEFT JOIN (SELECT * FROM {q._values(q.FOUND, q.META_SCHEMA)}) f USING (doc_id)""",
+    "metadata_resolve": "SELECT m.doc_id, "
+    + ", ".join(f"CASE WHEN regexp_matches(m.{c}, '[^\\s\u00a0]') THEN m.{c} WHEN regexp_matches(f.{c}, '[^\\s\u00a0]') THEN f.{c} ELSE '' END AS {c}" for c in ("title", "author", "language"))
+    + f" FROM (SELECT * FROM {q._values(q.META, q.META_SCHEMA)}) m LEFT JOIN (SELECT * FROM {q._values(q.FOUND, q.META_SCHEMA)}) f USING (doc_id)",
     "epub_valid": "SELECT DISTINCT source AS artifact, 0::BIGINT AS n_errors, 0::BIGINT AS n_warnings, true AS valid FROM documents",
     "epub_refs_issues": "SELECT DISTINCT source AS artifact, 2 AS layer, 'invalid_archive' AS code, 'error' AS severity FROM documents",
     "css_refs": "SELECT * FROM (VALUES ('a', 'x.png,b.css'), ('b', '')) AS v(name, refs)",

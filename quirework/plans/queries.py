@@ -209,7 +209,7 @@ def chapters_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapters_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = headings.classify(_html_paragraphs(spark, sf_dir)).where("is_heading")
-    rows = found.withColumns({"element_index": F.col("page_number") * 1000 + F.col("para_idx"), "norm_text": tx.normalized("text"), "font_size": F.col("median_size"), "is_bold": F.col("bold"), "is_centred": F.col("centred")})
+    rows = found.withColumns({"element_index": F.col("page_number") * (1 << 31) + F.col("para_idx"), "norm_text": tx.normalized("text"), "font_size": F.col("median_size"), "is_bold": F.col("bold"), "is_centred": F.col("centred")})
     return chapters.toc(chapters.detect(rows)).select("doc_id", "title", "order", "page_number", "level")
 
 
@@ -269,9 +269,9 @@ def resource_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("number", "media_type", F.concat(F.format_string("image-%03d.", "number"), extension_of(F.col("media_type"))).alias("image"), chapter_name(F.col("number")).alias("chapter"))
 
 
-META = [("a", "Given", "", ""), ("b", "", "", "fr"), ("c", "  ", None, "de")]
+META = [("a", "Given", "", ""), ("b", "", "", "fr"), ("c", "  ", None, "de"), ("d", "  kept as it is ", "\t", "\u00a0")]
 META_SCHEMA = "doc_id string, title string, author string, language string"
-FOUND = [("a", "Found", "Ann", "en"), ("b", "From file", "  ", "en"), ("c", "", "Bo", "en")]
+FOUND = [("a", "Found", "Ann", "en"), ("b", "From file", "  ", "en"), ("c", "", "Bo", "en"), ("d", "unused", " Cy ", "\n")]
 
 
 def metadata_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def pdf_lines(files: DataFrame) -> DataFrame:
                                     first = line["spans"][0] if line["spans"] else {}
                                     rows.append((path, page.number + 1, b, n, "".join(s["text"] for s in line["spans"]), *line["bbox"], page.rect.width, page.rect.height, first.get("font"), first.get("size"), max(0, first.get("flags") or 0), None))
                 except Exception as e:  # one bad file is a row, not a failed job
-                    rows = [(path, *[None] * 12, f"pdf_read_error: {type(e).__name__}")]
+                    rows = [(path, *[None] * (len(names) - 2), f"pdf_read_error: {type(e).__name__}")]
                 yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, LINES)
