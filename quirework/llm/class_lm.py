@@ -1,10 +1,13 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Words are hashed to 64 bits. The units of the clustering are the ``frequent`` most frequent words,
-each by itself, and all other words in ``endings`` groups by their last three bytes, so every word
-of the corpus has a class through its unit. Bigrams of units are counted over all training
-text into one matrix of fixed size; the exchange moves each unit to the class that raises the
-likelihood most, until a sweep moves few.
+Words are hashed to 64 bits. The clustering has two steps. The exchange proper works on one matrix of
+bounded size: its units are the ``frequent`` most frequent words, each by itself, and all other words in
+``endings`` groups by their last three bytes; each unit moves to the class that raises the likelihood
+most, until a sweep moves few. Then every other word of the training text, however rare, gets the class
+of its own: by hash bucket, its bigrams with the classes around it meet, and it goes where they are
+likeliest. Transitions and sizes of the classes are counted anew from all words' final classes.
+So what is gathered from the corpus grows with its vocabulary, distributed, and only class tables
+and the frequent words are broadcast.
 
 Counts of words, tokens and types cover the whole training text: they meet by hash bucket,
 packed, and go back to the blocks of documents that ask, so no table of words is held in one
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .kernels import LOWER, NOT_SPACE, chunks, owners, prefix, slice_hash, spans, words
 from .packed import EMPTY, block_plan, find, in_blocks, packed, planes, rows_of, unpacked
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
-SLICES = 64
+PAIRS = 1 << 16  # words' contexts weighed at once
+NO_CLASS = 255
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +117,14 @@ def _units(name: np.ndarray, ending: np.ndarray, frequent: np.ndarray, endings:
     return np.where(name == END, len(frequent) + endings, unit)
 
 
-def _bigram_slices(shared, endings: int):
-    """The matrix of unit bigrams of a partition's training texts, in slices of rows."""
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    """The cells of a flat matrix of counts that aren't zero."""
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+
+def _unit_bigrams(shared, endings: int):
+    """Counts of unit bigrams of a partition's training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -127,15 +138,17 @@ def _bigram_slices(shared, endings: int):
                 unit = _units(name[own], ending[own], frequent, endings)
                 if len(unit):  # a text's first word follows the end before it
                     total += np.bincount(np.concatenate([[size - 1], unit[:-1]]) * size + unit, minlength=size * size)
-        parts = np.array_split(total, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+        yield _cells(total)
 
     return run
 
 
-def _add_slices(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-    return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def _matrix(cells: DataFrame, size: int) -> np.ndarray:
+    """The sums of all partitions' cells (at most size * size rows) as a matrix."""
+    rows = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -203,15 +216,28 @@ class Model:
         self.vocabulary = int(unit_types.sum())
         member = np.zeros((units, classes))
         member[np.arange(units), self.label] = 1
-        size, kinds = member.T @ bigrams.sum(0), member.T @ unit_types
+        self.classes, self.alpha = classes, alpha
+        self.new = (once + 1) / (self.train_tokens + 2)  # how often a token is the first of its word, from the words seen once
+        self.unknown = classes
+        self.tables(member.T @ bigrams @ member, member.T @ unit_types)
+
+    def tables(self, steps: np.ndarray, kinds: np.ndarray) -> None:
+        """Smoothed transitions and sizes from the bigrams of classes and the number of words of each."""
+        size = steps.sum(0)
         share = (size + kinds) / max(1, self.train_tokens + self.vocabulary)
-        wide = np.zeros((classes + 1, classes))  # the last context: an unknown word, after which classes have their shares
-        wide[:classes] = member.T @ bigrams @ member
-        step = (wide + alpha * share) / (wide.sum(1, keepdims=True) + alpha)
-        new = (once + 1) / (self.train_tokens + 2)  # how often a token is the first of its word, from the words seen once
-        self.log_step = np.log10(np.append(step * (1 - new), np.full((classes + 1, 1), new), 1) + 1e-300)
+        wide = np.zeros((self.classes + 1, self.classes))  # the last context: an unknown word, after which classes have their shares
+        wide[: self.classes] = steps
+        step = (wide + self.alpha * share) / (wide.sum(1, keepdims=True) + self.alpha)
+        self.log_step = np.log10(np.append(step * (1 - self.new), np.full((self.classes + 1, 1), self.new), 1) + 1e-300)
         self.log_size = np.append(np.log10(np.maximum(size + kinds, 1)), 0)
-        self.unknown = classes
+
+    def labels(self, names: np.ndarray, assigned: np.ndarray) -> np.ndarray:
+        """Classes of training words: those of the exchange, else the word's own."""
+        known, at = find(self.frequent, names)
+        out = assigned.astype(np.int64)
+        out[known] = self.label[at[known]]
+        out[names == END] = self.label[-1]
+        return out
 
 
 def _fit(texts: DataFrame, buckets: int, frequent: int, endings: int, classes: int, alpha: float) -> Model:
@@ -229,13 +255,79 @@ def _fit(texts: DataFrame, buckets: int, frequent: int, endings: int, classes: i
     names = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(names)
     known = spark.sparkContext.broadcast(names[order])
-    slices = texts.mapInArrow(_bigram_slices(known, endings), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
-    size = len(names) + endings + 1
-    bigrams = np.concatenate([np.frombuffer(r[1], np.int64) for r in sorted(slices)]).reshape(size, size) if slices else np.zeros((size, size), np.int64)
+    bigrams = _matrix(texts.mapInArrow(_unit_bigrams(known, endings), "cell bigint, n bigint"), len(names) + endings + 1)
     counts, ending = np.array([r[1] for r in top], np.int64), np.array([r[2] for r in top], np.int64)
     return Model(names[order], counts[order], ending[order], np.array([types.get(e, 0) for e in range(endings)], np.int64), ends, once, bigrams, classes, alpha)
 
 
+def _contexts(shared, buckets: int):
+    """By bucket: words that the exchange has not clustered themselves, each with the classes around it and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            trained = ~batch.column(1).to_numpy(zero_copy_only=False)
+            names, around = [EMPTY], [np.zeros(0, np.int64)]
+            for i, j, buf, offs in chunks(*spans(batch.column(0))):
+                name, ending, text = _tokens(buf, offs, model.endings)
+                own = trained[i:j][text]
+                name = name[own]
+                unit = _units(name, ending[own], model.frequent, model.endings)
+                label = np.concatenate([model.label[-1:], model.label[unit], model.label[-1:]])
+                rare = (unit >= len(model.frequent)) & (name != END)
+                names.append(name[rare])
+                around.append((label[:-2] * model.classes + label[2:])[rare])
+            name, context, times = _pairs(np.concatenate(names), np.concatenate(around), None)
+            word, begin = np.unique(name, return_index=True)
+            of_word = (word % np.uint64(buckets)).astype(np.int64)
+            lengths = np.diff(np.append(begin, len(name)))
+            out = packed(0, of_word, buckets, names=word, lengths=lengths.astype(np.uint32))
+            pairs = packed(0, np.repeat(of_word, lengths), buckets, contexts=context.astype(np.uint16), counts=times.astype(np.uint32))
+            yield from pa.table({**{c: out[c] for c in ("bucket", "names", "lengths")}, **{c: pairs[c] for c in ("contexts", "counts")}}).to_batches()
+
+    return run
+
+
+def _pairs(name: np.ndarray, context: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word and context once, in order, with the summed counts."""
+    order = np.lexsort((context, name))
+    name, context = name[order], context[order]
+    new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (context[1:] != context[:-1])])) if len(name) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(new, len(name))) if times is None else np.add.reduceat(times[order], new) if len(new) else times
+    return name[new], context[new], sums
+
+
+def assign(model: Model, name: np.ndarray, context: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, classes, tokens): each word goes to the class under which its bigrams are likeliest, never to the end's."""
+    name, context, times = _pairs(name, context, times)
+    words, begin = np.unique(name, return_index=True)
+    tokens = np.add.reduceat(times, begin) if len(words) else np.zeros(0, np.int64)
+    out = np.zeros(len(words), np.uint8)
+    into, on = model.log_step[: model.classes, : model.classes], model.log_step[: model.classes, : model.classes].T
+    cuts = np.append(begin, len(name))
+    at = 0
+    while at < len(words):  # a word has at most classes * classes contexts
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PAIRS, "right")) - 1)
+        some = slice(cuts[at], cuts[to])
+        how = (into[context[some] // model.classes] + on[context[some] % model.classes]) * times[some, None]
+        fit = np.add.reduceat(how, cuts[at:to] - cuts[at]) - tokens[at:to, None] * model.log_size[None, : model.classes]
+        fit[:, model.label[-1]] = -np.inf
+        out[at:to] = fit.argmax(1)
+        at = to
+    return words, out, tokens
+
+
+def _assigned(shared):
+    def run(table: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        name = np.repeat(unpacked(table, "names"), unpacked(table, "lengths", np.uint32))
+        words, label, _ = assign(model, name, unpacked(table, "contexts", np.uint16).astype(np.int64), unpacked(table, "counts", np.uint32).astype(np.int64))
+        kinds = np.bincount(label, minlength=model.classes).tolist()
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "names": pa.array([planes(words)], pa.binary()), "labels": pa.array([planes(label)], pa.binary()), "kinds": pa.array([kinds], pa.list_(pa.int64()))})
+
+    return run
+
+
 def _asked(buckets: int):
     """The names of a block and their training counts in it."""
 
@@ -255,29 +347,59 @@ def _block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seen.result()
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """The corpus's counts, in the order in which each block asked."""
+def _answered(table: pa.Table, assigned: pa.Table) -> pa.Table:
+    """The corpus's counts and the words' own classes, in the order in which each block asked."""
+    if not len(table):
+        return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "counts": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
     name, count, row = unpacked(table, "names"), unpacked(table, "counts", np.int64), rows_of(table, "names", 8)
     names, total, _ = _counted([name], [count], [np.zeros(len(name), np.int64)])
     total = total[np.searchsorted(names, name)]
-    cut = np.searchsorted(row, np.arange(len(table) + 1))
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([planes(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    has, at = find(unpacked(assigned, "names"), name)
+    label = np.full(len(name), NO_CLASS, np.uint8)
+    label[has] = unpacked(assigned, "labels", np.uint8)[at[has]]
+    cut = list(zip(*[iter(np.repeat(np.searchsorted(row, np.arange(len(table) + 1)), 2)[1:-1].tolist())] * 2, strict=True))
+    return pa.table({"block": table["block"], "bucket": table["bucket"], **{c: pa.array([planes(v[a:b]) for a, b in cut], pa.binary()) for c, v in (("counts", total), ("labels", label))}})
+
+
+def _known(table: pa.Table, answers: pa.Table, model: Model, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, their training counts, and their classes (that of unknown words without a count)."""
+    names, _, _ = _block_words(table)
+    order = np.argsort((names % np.uint64(buckets)).astype(np.int64), kind="stable")
+    answers = answers.sort_by("bucket")
+    counts, labels = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint8)
+    counts[order], labels[order] = unpacked(answers, "counts", np.int64), unpacked(answers, "labels", np.uint8)
+    return names, counts, np.where(counts > 0, model.labels(names, labels), model.unknown)
+
+
+def _transitions(shared, buckets: int):
+    """Counts of class bigrams of a block's training texts."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        total = np.zeros(model.classes**2, np.int64)
+        if len(table):
+            names, _, labels = _known(table, answers, model, buckets)
+            trained = ~table["held_out"].to_numpy()
+            for i, j, buf, offs in chunks(*spans(table["text"])):
+                name, _, text = _tokens(buf, offs, 1)
+                label = labels[np.searchsorted(names, name[trained[i:j][text]])]
+                if len(label):
+                    total += np.bincount(np.concatenate([model.label[-1:], label[:-1]]) * model.classes + label, minlength=len(total))
+        return pa.Table.from_batches([_cells(total)])
+
+    return run
 
 
 def _scored(shared, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         model: Model = shared.value
-        names, _, _ = _block_words(table)
-        order = np.argsort((names % np.uint64(buckets)).astype(np.int64), kind="stable")
-        answers = answers.sort_by("bucket")
-        counts = np.zeros(len(names), np.int64)
-        counts[order] = unpacked(answers, "counts", np.int64)
+        names, counts, labels = _known(table, answers, model, buckets)
         n, v = model.train_tokens, model.vocabulary
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
         for i, j, buf, offs in chunks(*spans(table["text"])):
-            name, ending, text = _tokens(buf, offs, model.endings)
-            c = counts[np.searchsorted(names, name)]
-            label = np.where(c > 0, model.label[_units(name, ending, model.frequent, model.endings)], model.unknown)
+            name, _, text = _tokens(buf, offs, 1)
+            at = np.searchsorted(names, name)
+            c, label = counts[at], labels[at]
             past = np.concatenate([[model.label[-1]], label[:-1]])
             past[np.concatenate([[True], text[1:] != text[:-1]])] = model.label[-1]
             step = model.log_step[past, label] + np.where(c > 0, np.log10(c + 1) - model.log_size[label], 0)
@@ -309,14 +431,30 @@ def score_documents(
     Learns from the rows whose crc32(id as text) modulo ``folds`` is not ``fold``. ``score`` is the
     log10 probability of the text with its end; ``base_score`` that of single tokens, adding one.
     Null texts are empty (the end only); a null id is in no fold and is learnt from. Repeated rows
-    count and are scored each; with nothing to learn from, all words are unknown.
+    count and are scored each; with nothing to learn from, all words are unknown; an empty table
+    gives no rows. ``classes`` is at most 255. Other columns are not read.
     """
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
     blocks, buckets = block_plan(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(_fit(rows.select("text", "held_out"), buckets, frequent, endings, classes, alpha))
+    context = rows.sparkSession.sparkContext
+    trained = rows.select("text", "held_out")
+    model = _fit(trained, buckets, frequent, endings, classes, alpha)
+    first = context.broadcast(model)
+    found = trained.mapInArrow(_contexts(first, buckets), "bucket int, names binary, lengths binary, contexts binary, counts binary")
+    own = stored(found.groupBy("bucket").applyInArrow(_assigned(first), "bucket int, names binary, labels binary, kinds array<bigint>"))
     held = in_blocks(rows, blocks).groupBy("block")
-    answers = held.applyInArrow(_asked(buckets), "bucket int, block int, names binary, counts binary").groupBy("bucket").applyInArrow(_answered, "block int, bucket int, counts binary")
+    asked = held.applyInArrow(_asked(buckets), "bucket int, block int, names binary, counts binary").groupBy("bucket")
+    answers = stored(asked.cogroup(own.groupBy("bucket")).applyInArrow(_answered, "block int, bucket int, counts binary, labels binary"))
+    # the classes' tables anew, from all words' classes
+    kinds = np.zeros(classes)
+    kinds[model.label[-1]] = 1
+    np.add.at(kinds, model.label[: len(model.frequent)], 1)
+    for c, n in own.select(F.posexplode("kinds")).groupBy("pos").agg(F.sum("col")).collect():
+        kinds[c] += n
+    steps = held.cogroup(answers.groupBy("block")).applyInArrow(_transitions(first, buckets), "cell bigint, n bigint")
+    model.tables(_matrix(steps, classes), kinds)
+    shared = context.broadcast(model)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return held.cogroup(answers.groupBy("block")).applyInArrow(
         _scored(shared, buckets), f"doc_id {id_type}, held_out boolean, train_tokens bigint, n_tokens bigint, n_known bigint, base_score double, score double, perplexity double"

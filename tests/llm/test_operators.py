@@ -451,3 +451,38 @@ def test_neighbourhoods_grow_with_the_links(spark, monkeypatch):
         docs = spark.createDataFrame(rows, "doc_id bigint, text string")
         assert jaccard.jaccard_components(docs, size=5, percent=80).count() == n // 4 * 2
     assert sizes[0] <= 2 * 30 and sizes[1] <= 2 * 120
+
+
+def test_every_word_gets_its_own_class():
+    """What the exchange left in groups goes to the class under which its bigrams are likeliest, by a plain loop."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    bigrams = r.integers(0, 30, (13, 13))
+    m = class_lm.Model(np.arange(8, dtype=np.uint64), np.ones(8, np.int64), np.zeros(8, np.int64), np.array([10, 3, 2, 1]), 5, 4, bigrams, 4, 8.0)
+    name, around = r.integers(100, 140, 3000).astype(np.uint64), r.integers(0, 16, 3000)
+    times = r.integers(1, 5, 3000)
+    words, label, tokens = class_lm.assign(m, name, around, times)
+    for w, got, n in zip(words, label, tokens):
+        own = [(c // 4, c % 4, t) for x, c, t in zip(name, around, times) if x == w]
+        fit = [sum(t * (m.log_step[p, c] + m.log_step[c, q]) for p, q, t in own) - sum(t for *_, t in own) * m.log_size[c] for c in range(4)]
+        fit[m.label[-1]] = -np.inf
+        assert fit[got] == pytest.approx(max(fit)) and n == sum(t for *_, t in own)
+    monkey, class_lm.PAIRS = class_lm.PAIRS, 7
+    try:
+        assert (class_lm.assign(m, name, around, times)[1] == label).all()
+    finally:
+        class_lm.PAIRS = monkey
+
+
+def test_class_model_scores_training_text_above_shuffled_text(spark):
+    r = random.Random(8)
+    kinds = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
+    rows = [(k, " ".join(r.choice(kinds[(k + j) % 4]) for j in range(60))) for k in range(300)]
+    rows += [(1000 + k, " ".join(r.sample(rows[k][1].split(), 60))) for k in range(60)]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    docs = spark.createDataFrame([x for x in rows if x[0] < 1000 or x[0] in held], "doc_id bigint, text string")
+    got = {x.doc_id: x.score for x in class_lm.score_documents(docs, frequent=40, endings=8, classes=6).collect()}
+    straight = [got[d] for d in held if d < 1000]
+    mixed = [got[d] for d in held if d >= 1000]
+    assert min(straight) > max(mixed)
