@@ -2,9 +2,10 @@
 
 The texts of a source, by hash bucket of their ids and then by id, are one long run of words, cut into blocks of
 ``block`` words. The mix is a sequence of slots, ``shard_slots`` to an output shard. Each shard
-draws multinomial source counts: of a source's expected share of the slots the whole part is
-certain and the fractions are drawn, so counts stay near their targets however many shards there
-are. The k-th slot of a source goes through a pseudorandom permutation of the source's blocks
+draws its source counts: of a source's expected share of the slots the whole part is certain, and
+the slots that then remain are drawn multinomially, each a source in proportion to the fractions. So
+counts stay near their targets even of small sources, which a draw of all slots would miss by many
+percent. The k-th slot of a source goes through a pseudorandom permutation of the source's blocks
 (swap-or-not rounds, which are a permutation of any range), starting again when all blocks have
 been used. No block is used more than ``repeats`` times. Slots and documents are joined by block
 index.
@@ -92,7 +93,9 @@ def mix(
     """Per document: ``doc_id``, ``size``, ``source_size``, ``target`` (its source's) and ``taken``.
 
     A null text has no words and nothing is taken from it; null sources are one source, the last.
-    Rows with the same id follow each other in their source; an empty table gives no rows.
+    Rows with the same id follow each other in their source, a null id's among them; an empty table
+    gives no rows. Other columns are not read. A shard draws once for each source and remaining slot,
+    and sources are numbered in one window: sources are tens or hundreds, not as many as documents.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -144,8 +147,12 @@ def _block_uses(goals: DataFrame, block: int, shard_slots: int, repeats: int, se
     order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("fraction", F.col("expected") - F.floor("expected")).withColumn("high", F.sum("fraction").over(order))
     g = g.withColumn("low", F.col("high") - F.col("fraction")).withColumn("key", F.coalesce(F.col("source"), F.lit("\0")))
-    # a shard draws the fractions with one uniform number: points u, u + 1, u + 2, ... of the line on which they lie end to end
-    drawn = F.floor(F.col("high") - F.col("u")) - F.floor(F.col("low") - F.col("u"))
+    # a shard's remaining slots (the fractions' sum, rounded up or down at random) each fall on the line on which the fractions lie end to end
+    g = g.withColumn("line", F.sum("fraction").over(one))
+    remaining = F.floor(F.col("line") + _uniform(F.col("shard"), F.lit(seed)))
+    point = lambda j: _uniform(F.col("shard"), j, F.lit(seed)) * F.col("line")
+    draws = F.filter(F.sequence(F.lit(1).cast("bigint"), remaining), lambda j: (point(j) >= F.col("low")) & (point(j) < F.col("high")))
+    drawn = F.when(remaining >= 1, F.size(draws)).otherwise(0)
     # few rows become many, in steps, each dealt out before it: groups of shards, shards, slots
     n = _shuffle_partitions(goals)
     last = F.col("shards") - 1
@@ -153,7 +160,6 @@ def _block_uses(goals: DataFrame, block: int, shard_slots: int, repeats: int, se
         g.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / SHARD_GROUP))))
         .repartition(n, "source", "group")
         .withColumn("shard", F.explode(F.sequence(F.col("group") * SHARD_GROUP, F.least(last, F.col("group") * SHARD_GROUP + SHARD_GROUP - 1))))
-        .withColumn("u", _uniform(F.col("shard"), F.lit(seed)))
         .withColumn("count", (F.floor("expected") + drawn).cast("bigint"))
         .select("source", "key", "blocks", "group", "shard", "count")
     )

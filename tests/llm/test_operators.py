@@ -486,3 +486,15 @@ def test_class_model_scores_training_text_above_shuffled_text(spark):
     straight = [got[d] for d in held if d < 1000]
     mixed = [got[d] for d in held if d >= 1000]
     assert min(straight) > max(mixed)
+
+
+def test_mixing_draws_remaining_slots_multinomially(spark):
+    """Over many shards, a source's drawn slots have a multinomial's mean and spread; reruns draw the same."""
+    sizes = {"a": 64 * 1000 * 7, "b": 64 * 1000 * 5, "c": 64 * 1000 * 4}
+    goals = spark.createDataFrame([(s, n, float(n), n // 64) for s, n in sizes.items()], "source string, source_size bigint, target double, blocks bigint")
+    uses = lambda: mixing._block_uses(goals, 64, 10, 2, 17)  # noqa: E731  shards of ten slots: 4.375, 3.125 and 2.5 expected
+    got = {r.s3: r.n for r in uses().groupBy("s3").agg(F.sum("times").alias("n")).collect()}
+    for s, n in sizes.items():
+        assert abs(got[s] - n / 64) <= 4 * math.sqrt(1600)
+    assert abs(sum(got.values()) - 16000) <= 4 * math.sqrt(1600)
+    assert sorted(map(tuple, uses().collect())) == sorted(map(tuple, uses().repartition(3).collect()))
