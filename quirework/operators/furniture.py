@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import page_template, page_value
 from ..functions.text import clamp01, positive, valid_box
+from ..session import stored
 
 MIN_PAGES, EDGE, TOLERANCE, SATURATION = 3, 0.15, 0.03, 5
 SHORT_CHARS, MAX_CHARS, MIN_CONFIDENCE = 60, 160, 0.5
@@ -91,16 +92,21 @@ def sequence_groups(found: DataFrame, exact: DataFrame) -> DataFrame:
     return _groups(kept, True)
 
 
+def _edges(paragraphs: DataFrame) -> DataFrame:
+    """Occurrences near the edges, written once, as they are read several times: what is inside a page is never normalised."""
+    return stored(occurrences(paragraphs).where("region IS NOT NULL"))
+
+
 def detect(paragraphs: DataFrame) -> DataFrame:
     """All headers and footers of all documents: exact texts and page-number sequences."""
-    found = occurrences(paragraphs)
+    found = _edges(paragraphs)
     exact = exact_groups(found)
     return exact.unionByName(sequence_groups(found, exact))
 
 
 def furniture_members(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, page_number, para_idx) of the paragraphs that are furniture."""
-    found = occurrences(paragraphs)
+    found = _edges(paragraphs)
     exact = exact_groups(found)
     both = members(found, exact, "norm_text").unionByName(members(found, sequence_groups(found, exact), "template"))
     return both.select("doc_id", "page_number", "para_idx").distinct()
