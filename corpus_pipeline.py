@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Classifier scores, MinHash and keyed permutations aren't in SQL; tests/llm checks the run by brute force.
+#: Classifier scores, MinHash and keyed permutations aren't in SQL; tests/llm checks what each stage must hold to, not yet the whole run by brute force.
 ORACLE_SQL = None
 
 
