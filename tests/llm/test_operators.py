@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -333,6 +334,21 @@ def test_line_dedup_recall_of_few_shingles(spark, common, size):
     assert abs((n - met) / n - miss) < 0.006
 
 
+def test_line_dedup_loses_no_pair_of_a_crowded_band(spark):
+    """Similar lines that share one crowded band only, neither its smallest nor its largest, and agree with no end."""
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120))
+    texts = [line() for _ in range(30)]
+    texts[15] = texts[14][:60] + "#" + texts[14][61:]
+    texts[21] = texts[20][:100]
+    found = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "id bigint, check bigint, line string")
+    end = lambda k: -1 if k in (0, 29) else k
+    rows = [(k, 0, [7, 1000 + k], end(k), end(k)) for k in range(30)]
+    signed = spark.createDataFrame(rows, "id bigint, level int, keys array<bigint>, p1 bigint, p2 bigint")
+    got = line_dedup._links(found, signed, partial(line_dedup._every, length=5), 0.8).collect()
+    assert sorted((r.a.id, r.b.id) for r in got) == [(15, 14), (21, 20)]
+
+
 def test_line_dedup_links_one_character_edits_of_short_lines(spark):
     r = random.Random(21)
     rows, near = [], []
