@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from quirework.operators import assemble, cover, epub_validate, furniture, headings, paragraphs, reading_order
@@ -87,6 +90,22 @@ def test_books_are_valid_and_the_same_bytes(spark):
     assert epub_validate.issues(facts).collect() == []
 
 
+def test_books_are_packed_without_holding_their_text():
+    import tracemalloc
+
+    lines = lambda: (f"<p>{k % 97} some words of a line</p>" for k in range(600_000))
+    args = ("T", "en", "i")
+    one = lambda body: [{"name": "chapter-01.xhtml", "title": "T", "body": body}]
+    tracemalloc.start()
+    data = epub_write.archive(*args, one(lines()), [], "p {}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 < len("".join(lines()))
+    whole = epub_write.archive(*args, one("\n".join(lines())), [], "p {}")
+    with zipfile.ZipFile(io.BytesIO(data)) as a, zipfile.ZipFile(io.BytesIO(whole)) as b:
+        assert a.namelist() == b.namelist() and all(a.read(n) == b.read(n) for n in a.namelist())
+
+
 def _archive(change) -> bytes:
     chapters = [{"name": "chapter-01.xhtml", "title": "One", "body": '<p>x</p><div class="page-break"></div><img src="images/a.png" alt=""/>'}]
     images = [{"name": "a.png", "media_type": "image/png", "data": b"\x89PNG\r\n\x1a\n"}]
