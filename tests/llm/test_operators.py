@@ -349,6 +349,29 @@ def test_line_dedup_loses_no_pair_of_a_crowded_band(spark):
     assert sorted((r.a.id, r.b.id) for r in got) == [(15, 14), (21, 20)]
 
 
+def test_line_dedup_writes_few_pairs_of_crowded_bands(spark, monkeypatch):
+    """Lines with only a band in common become no pairs, and of a group of variants few pairs meet their texts."""
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120))
+    base, n = line(), 60
+    # variants of one line, not like each other, and as many other lines in a band of their own
+    texts = [base] + [base[:at] + "##########" + base[at + 10 :] for at in range(0, 110, 2)] + [line() for _ in range(n)]
+    m = len(texts) - n
+    found = spark.createDataFrame([(k * 7 % len(texts), k, x) for k, x in enumerate(texts)], "id bigint, check bigint, line string")
+    bits = lambda: rng.getrandbits(63)
+    rows = [(k * 7 % len(texts), 0, [7 if k < m else 8, 1000 + k] + [9] * (k == 0 or 20 <= k < 30), *((5, 5) if k < m else (bits(), bits()))) for k in range(len(texts))]
+    signed = spark.createDataFrame(rows, "id bigint, level int, keys array<bigint>, p1 bigint, p2 bigint")
+    parities, verified, linked = [], [], line_dedup._linked
+    of = line_dedup._parities
+    monkeypatch.setattr(line_dedup, "_parities", lambda texts, every: parities.append(texts.count()) or of(texts, every))
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, *rest: verified.append(pairs.count()) or linked(pairs, *rest))
+    got = line_dedup._links(found, signed, partial(line_dedup._every, length=5), 0.8).collect()
+    near = {(max(i, j), min(i, j)) for i in range(m) for j in range(i) if len(_char_shingles(texts[i]) & _char_shingles(texts[j])) >= 0.8 * len(_char_shingles(texts[i]) | _char_shingles(texts[j]))}
+    assert {x.check for r in got for x in (r.a, r.b)} == {k for p in near for k in p}
+    assert {(max(r.a.check, r.b.check), min(r.a.check, r.b.check)) for r in got} <= near
+    assert sum(parities) <= m and sum(verified) <= 4 * m
+
+
 def test_line_dedup_links_one_character_edits_of_short_lines(spark):
     r = random.Random(21)
     rows, near = [], []
