@@ -103,7 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "found"])
 
     rows = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, found binary").toArrow().sort_by("doc_id")
-    return Ftrl(bits).learn([(np.frombuffer(x, np.uint32), y) for x, y in zip(rows["found"].to_pylist(), rows["label"].to_pylist(), strict=True)]).compact()
+    # views of the table's memory, which goes back to the system: the driver's is small
+    out = Ftrl(bits).learn([(np.frombuffer(x.as_buffer(), np.uint32), y) for x, y in zip(rows["found"], rows["label"].to_pylist(), strict=True)]).compact()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, bits: int = BITS, keep: bool = False) -> DataFrame:

@@ -372,6 +372,32 @@ def test_line_dedup_writes_few_pairs_of_crowded_bands(spark, monkeypatch):
     assert sum(parities) <= m and sum(verified) <= 4 * m
 
 
+def test_line_dedup_labels_its_links_once(spark, monkeypatch):
+    """Each labelling of a large graph is dozens of stages, whose plans and tasks the driver keeps."""
+    r = random.Random(17)
+    rows = []
+    for k in range(40):
+        a = _text(r, 30)
+        rows += [(4 * k + j, a + "!" * j) for j in range(4)]
+    edges, label = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda links, *names: edges.append(links.count()) or label(links, *names))
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
+    assert got == {x for x, _ in rows if x % 4}
+    assert 120 <= sum(edges) <= 320
+
+
+def test_joined_roots_are_those_of_all_links(spark):
+    r = random.Random(4)
+    node = lambda k: (k, k * 7 % 11)
+    old, new = ([(node(a), node(b)) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(n)) if a != b] for n in (25, 20))
+    frame = lambda rows: spark.createDataFrame(rows, "a struct<id: bigint, check: bigint>, b struct<id: bigint, check: bigint>")
+    got = line_dedup._joined(line_dedup.components(frame(old)), frame(new))
+    want = line_dedup.components(frame(old + new))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    same = line_dedup._joined(line_dedup.components(frame(old)), frame([]))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, line_dedup.components(frame(old)).collect()))
+
+
 def test_line_dedup_links_one_character_edits_of_short_lines(spark):
     r = random.Random(21)
     rows, near = [], []
