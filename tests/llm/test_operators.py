@@ -443,6 +443,23 @@ def test_line_dedup_links_repetitive_lines_of_other_lengths(spark):
     assert got == {2, 4}
 
 
+def test_line_dedup_samples_long_lines_that_repeat_a_passage(spark, monkeypatch):
+    """A passage that comes twice is no reason to sign all of a line whose other shingles are distinct."""
+    r = random.Random(41)
+    rows = []
+    for k in range(30):
+        head = _text(r, 5)
+        a = [*head.split(), *(f"{r.getrandbits(30):x}" for _ in range(400)), *head.split()]
+        b = list(a)
+        b[100] = b[300] = "changed"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    signed, of = [], line_dedup._signatures
+    monkeypatch.setattr(line_dedup, "_signatures", lambda hashes, *rest: signed.append(hashes.count()) or of(hashes, *rest))
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), **line_dedup.WHOLE).collect()}
+    assert got == {2 * k + 1 for k in range(30)}
+    assert sum(signed) < 200 * len(rows)
+
+
 def test_whole_line_dedup_of_odd_rows(spark, nothing):
     long = "one very long line of words that goes on " * 3
     rows = [(1, "x\n\n \nx", "a"), (2, "x\ny", "b"), (2, "x\ny", "c"), (2, "z\nx", "d"), (None, "x", "e"), (3, None, "f"), (4, "", "g"), (5, "x", "h"), (6, long + "\n" + long, "i"), (7, long[:-1] + "!", "j")]
